@@ -47,17 +47,22 @@ def display_name(name: Column) -> Column:
     return humanize_stem(original_filename(stem(name)))
 
 
-@F.arrow_udf("string")
-def _decompose_to_ascii(names):
-    import pyarrow.compute as pc
+def _decompose_to_ascii(name: Column) -> Column:
+    # Defined inside, so that it travels by value and executors need not have
+    # this package installed.  Spark has no Unicode normalisation; both kernels
+    # used here are vectorised.
+    @F.arrow_udf("string")
+    def decompose(values):
+        import pyarrow.compute as pc
 
-    # Spark has no Unicode normalisation; both kernels are vectorised.
-    return pc.replace_substring_regex(pc.utf8_normalize(names, "NFKD"), r"[^\x00-\x7F]", "")
+        return pc.replace_substring_regex(pc.utf8_normalize(values, "NFKD"), r"[^\x00-\x7F]", "")
+
+    return decompose(name)
 
 
 def sanitize_filename(name: Column) -> Column:
     """ASCII form of a name: accents dropped, other characters to single ``_``."""
-    ascii_name = F.when(name.rlike(r"[^\x00-\x7F]"), _decompose_to_ascii(name)).otherwise(name)
+    ascii_name = _decompose_to_ascii(name)
     return F.regexp_replace(F.regexp_replace(ascii_name, r"[^a-zA-Z0-9._-]", "_"), "_{2,}", "_")
 
 

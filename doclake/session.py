@@ -35,6 +35,17 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where a result is needed more than once: it cuts the lineage, survives
+    lost executors, and the size of the table is known to later plans.
+    """
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(df: DataFrame, *text_cols: str) -> bool:
     """Measure a table that may be small enough to broadcast (one tiny aggregate)."""
     size = F.lit(0).cast("long")

@@ -37,14 +37,13 @@ def read_fragments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_fragments(fragments: DataFrame, path: str) -> None:
-    """Fragment table, sorted inside its files so that a document is found by file statistics.
+    """Fragment table; sorted inside its files, so a document is found by row-group statistics.
 
-    Range partitioning samples the rows and takes the fragment number as second
-    key, so a document with very many fragments is spread over several files.
+    Rows are not shuffled for it: a document with very many fragments stays
+    spread over the tasks that made them.
     """
     (
-        fragments.repartitionByRange("document_id", "chunk_number")
-        .sortWithinPartitions("document_id", "chunk_number")
+        fragments.sortWithinPartitions("document_id", "chunk_number")
         .write.mode("overwrite")
         .parquet(path)
     )

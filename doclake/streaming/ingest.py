@@ -12,7 +12,7 @@ again replaces all of its earlier fragments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -83,10 +83,12 @@ def compact_store(spark: SparkSession, store: str, path: str) -> None:
     write_fragments(read_store(spark, store), path)
 
 
-def stream_client_errors(reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_client_errors(
+    reports: DataFrame, path: str, checkpoint: str, received_at: Column | None = None
+) -> StreamingQuery:
     """Append error reports to a table as they come in."""
     return (
-        client_errors(reports)
+        client_errors(reports, received_at)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
