@@ -16,12 +16,13 @@ from doclake.functions.text import (
     INLINE_SPACE_CLASS,
     LINE_BREAK_CLASS,
     let,
+    newlines,
     strip,
 )
 
 HEADER = rf"#{{1,6}}[{INLINE_SPACE_CLASS}]"
-SECTION_START = rf"(?<=[{LINE_BREAK_CLASS}])(?={HEADER})"
-OTHER_LINE_BREAK = r"\r\n|[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+# Looking ahead for the header first is quicker: few characters pass that test.
+SECTION_START = rf"(?={HEADER})(?<=[{LINE_BREAK_CLASS}])"
 
 
 def sections(markdown: Column) -> Column:
@@ -32,7 +33,7 @@ def sections(markdown: Column) -> Column:
         title = F.when(raw.rlike(f"^{HEADER}"), strip(rest_of_header)).otherwise(fv.DEFAULT_SECTION)
         return F.struct(
             title.alias("section"),
-            strip(F.regexp_replace(raw, OTHER_LINE_BREAK, "\n")).alias("content"),
+            strip(newlines(raw)).alias("content"),
         )
 
     raw_sections = F.filter(F.split(markdown, SECTION_START, -1), lambda raw: raw != "")

@@ -10,7 +10,8 @@ from doclake.functions import fixed_values as fv
 # Regex classes spelled out character by character, so that they do not depend
 # on the regex engine's idea of white space or of a line end.
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
-LINE_BREAK_CLASS = r"\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
+OTHER_BREAK_CLASS = r"\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
+LINE_BREAK_CLASS = r"\n" + OTHER_BREAK_CLASS
 INLINE_SPACE_CLASS = r"\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 SPACE_CLASS = LINE_BREAK_CLASS + INLINE_SPACE_CLASS
 
@@ -35,6 +36,11 @@ def or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def newlines(col: Column) -> Column:
+    """Every line break as ``\\n``."""
+    return F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), f"[{OTHER_BREAK_CLASS}]", "\n")
+
+
 def collapse_space(col: Column) -> Column:
     return F.regexp_replace(col, f"[{SPACE_CLASS}]+", " ")
 
@@ -63,7 +69,7 @@ def plain_text(col: Column) -> Column:
     out = F.regexp_replace(out, r"(?d)!\[.*?\]\(.*?\)", " ")
     out = F.regexp_replace(out, r"(?d)\[(.*?)\]\(.*?\)", "$1")
     out = F.regexp_replace(out, rf"(?md)^#{{1,6}}{space}", "")
-    out = F.translate(out, "*_~>#-", "      ")
+    out = F.regexp_replace(out, "[*_~>#-]", " ")
     out = F.regexp_replace(out, r"\n{2,}", "\n")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return strip(out)

@@ -14,7 +14,7 @@ from doclake.functions.text import plain_text
 from doclake.operators import catalog as cat
 from doclake.operators import dedup, fragments, ingest, pages, present, quality, search, viewer
 from doclake.plans.views import Views
-from doclake.session import new_shared_path
+from doclake.session import new_shared_path, stored
 from doclake.sources import client_errors as errors
 from doclake.sources import index as index_store
 from doclake.sources import markdown as markdown_store
@@ -44,6 +44,10 @@ def _page_fragments(v: Views) -> DataFrame:
     return fragments.fragments_from_pages(v.page_texts())
 
 
+def _stored_fragments(v: Views) -> DataFrame:
+    return stored(_page_fragments(v), "fragments")
+
+
 def _index(v: Views) -> DataFrame:
     return fragments.search_index(_page_fragments(v))
 
@@ -359,13 +363,13 @@ def search_filtered(v: Views) -> DataFrame:
 
 @query
 def search_document(v: Views) -> DataFrame:
-    found = viewer.search_fragments(_page_fragments(v), viewer.check_view_requests(v.view_requests()))
+    found = viewer.search_fragments(_stored_fragments(v), viewer.check_view_requests(v.view_requests()))
     return found.select("request_id", "id", "chunk_number", "section", "score")
 
 
 @query
 def fragment_page(v: Views) -> DataFrame:
-    found = viewer.search_fragments(_page_fragments(v), viewer.check_view_requests(v.view_requests()))
+    found = viewer.search_fragments(_stored_fragments(v), viewer.check_view_requests(v.view_requests()))
     return viewer.paginate(found).select(
         "request_id", "id", "score", "position", "page", "page_size", "total", "total_pages"
     )
@@ -374,7 +378,7 @@ def fragment_page(v: Views) -> DataFrame:
 @query
 def page_totals(v: Views) -> DataFrame:
     asked = viewer.check_view_requests(v.view_requests())
-    return viewer.page_totals(viewer.search_fragments(_page_fragments(v), asked), asked)
+    return viewer.page_totals(viewer.search_fragments(_stored_fragments(v), asked), asked)
 
 
 @query
@@ -421,13 +425,13 @@ def _changed(current: DataFrame) -> DataFrame:
 
 @query
 def upsert_fragments(v: Views) -> DataFrame:
-    current = _page_fragments(v).select("id", "document_id", "section", "chunk_number")
+    current = _stored_fragments(v).select("id", "document_id", "section", "chunk_number")
     return ingest.upsert(current, _changed(current))
 
 
 @query
 def replace_documents(v: Views) -> DataFrame:
-    current = _page_fragments(v).select("id", "document_id", "section", "chunk_number")
+    current = _stored_fragments(v).select("id", "document_id", "section", "chunk_number")
     return ingest.replace_documents(current, _changed(current).where("chunk_number <= 5"))
 
 
@@ -452,8 +456,7 @@ def stream_ingest(v: Views) -> DataFrame:
 @query
 def stream_client_errors(v: Views) -> DataFrame:
     path = new_shared_path(v.spark, "errors")
-    stored = v.table("events")
-    rows = v.spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    rows = v.spark.readStream.schema(v.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
     reports = rows.where("event_type = 'error'").select(
         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("message"),
         F.col("event_type").alias("source"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclake.sources.files import read_table
+
 SPARK = {"div": "div", "str": "string"}
 DUCKDB = {"div": "//", "str": "varchar"}
 
@@ -140,7 +142,7 @@ class Views:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, text: str, **named: DataFrame) -> DataFrame:
         text = text.format(**SPARK)
