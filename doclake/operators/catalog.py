@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions import fixed_values as fv
 from doclake.functions import names
+from doclake.session import lookup_join
 
 
-def with_flag(df: DataFrame, keys: DataFrame, flag: str, key: str = "id") -> DataFrame:
-    """Add a boolean column: does the row's key occur in ``keys``?
+def with_flags(df: DataFrame, key: str, **flags: DataFrame) -> DataFrame:
+    """Add boolean columns: does the row's key occur in the table given for the flag?
 
-    ``keys`` is made distinct, so a row never multiplies.  The join is left
-    plain: Spark broadcasts the keys when they are measured to be small, and
-    splits a hot key's partition otherwise.
+    All tables are made into one lookup with one row per key, so there is one
+    join and a row never multiplies.
     """
-    marks = keys.select(F.col(key)).distinct().withColumn(flag, F.lit(True))
-    return df.join(marks, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    marks = reduce(
+        DataFrame.unionByName,
+        [
+            table.select(key, *[F.lit(name == flag).alias(name) for name in flags])
+            for flag, table in flags.items()
+        ],
+    )
+    lookup = marks.groupBy(key).agg(*[F.bool_or(name).alias(name) for name in flags])
+    joined = lookup_join(df, lookup, key, "left")
+    return joined.withColumns({name: F.coalesce(name, F.lit(False)) for name in flags})
 
 
 def list_documents(markdown_files: DataFrame) -> DataFrame:
@@ -42,9 +52,8 @@ def catalog(library: DataFrame, markdown_stems: DataFrame, scanned: DataFrame) -
         names.original_filename(name).alias("original_filename"),
         names.category(names.stem(name)).alias("category"),
     )
-    flagged = with_flag(files, markdown_stems, "converted")
-    flagged = with_flag(flagged, scanned.select(F.col("document_id").alias("id")), "is_scanned")
-    return flagged.select(
+    ids_scanned = scanned.select(F.col("document_id").alias("id"))
+    return with_flags(files, "id", converted=markdown_stems, is_scanned=ids_scanned).select(
         "id", "title", "filename", "original_filename", "converted", "is_scanned", "category"
     )
 

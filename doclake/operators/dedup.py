@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions import names
+from doclake.session import lookup_join
 
 
 def duplicate_candidates(library: DataFrame) -> DataFrame:
@@ -47,16 +48,12 @@ def duplicate_summary(library: DataFrame) -> DataFrame:
 def duplicate_files(library: DataFrame) -> DataFrame:
     """Every file of a group with its ``decision``: keep or delete."""
     groups = duplicate_groups(library).select("duplicate_key", "keep_key")
-    return (
-        duplicate_candidates(library)
-        .join(groups, "duplicate_key")
-        .select(
-            "duplicate_key",
-            "key",
-            "file_name",
-            "penalty",
-            F.when(F.col("key") == F.col("keep_key"), "keep").otherwise("delete").alias("decision"),
-        )
+    return lookup_join(duplicate_candidates(library), groups, "duplicate_key", "inner").select(
+        "duplicate_key",
+        "key",
+        "file_name",
+        "penalty",
+        F.when(F.col("key") == F.col("keep_key"), "keep").otherwise("delete").alias("decision"),
     )
 
 
@@ -81,4 +78,4 @@ def delete_plan(library: DataFrame) -> DataFrame:
 
 def purge(df: DataFrame, deleted: DataFrame) -> DataFrame:
     """Rows (fragments or index) whose document is not among the deleted ones."""
-    return df.join(deleted.select("document_id").distinct(), "document_id", "left_anti")
+    return lookup_join(df, deleted.select("document_id").distinct(), "document_id", "left_anti")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from doclake.functions import fixed_values as fv
 from doclake.functions import names
-from doclake.operators.catalog import with_flag
+from doclake.operators.catalog import with_flags
+from doclake.session import lookup_join
 
 
 def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -34,7 +35,7 @@ def pending_files(library: DataFrame, stored: DataFrame) -> DataFrame:
         "clean_name", names.sanitize_filename(F.col("file_name"))
     )
     have = stored.select(F.col("file_name").alias("clean_name")).where(F.col("clean_name") != "").distinct()
-    return clean.join(have, "clean_name", "left_anti")
+    return lookup_join(clean, have, "clean_name", "left_anti")
 
 
 def pending_outputs(library: DataFrame, markdown_stems: DataFrame, json_stems: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def pending_outputs(library: DataFrame, markdown_stems: DataFrame, json_stems: D
     files = library.where(names.is_supported(F.col("file_name"))).select(
         "key", "file_name", names.stem(clean).alias("id")
     )
-    flagged = with_flag(with_flag(files, markdown_stems, "has_markdown"), json_stems, "has_json")
+    flagged = with_flags(files, "id", has_markdown=markdown_stems, has_json=json_stems)
     return flagged.where(~F.col("has_markdown") | ~F.col("has_json"))
 
 
@@ -56,7 +57,7 @@ def plan_actions(files: DataFrame, existing: DataFrame) -> DataFrame:
     target = F.concat_ws("_", F.col("prefix"), names.sanitize_filename(name))
     planned = files.where(names.is_supported(name)).withColumn("target_name", target)
     done = existing.select(F.col("file_name").alias("target_name"))
-    flagged = with_flag(planned, done, "_done", "target_name")
+    flagged = with_flags(planned, "target_name", _done=done)
     big_pdf = (names.suffix(name) == ".pdf") & (F.col("size_bytes") > fv.COMPRESS_OVER_BYTES)
     action = F.when(F.col("_done"), "skip").when(big_pdf, "compress").otherwise("copy")
     return flagged.select("prefix", "file_name", "size_bytes", "target_name", action.alias("action"))
@@ -64,7 +65,8 @@ def plan_actions(files: DataFrame, existing: DataFrame) -> DataFrame:
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """Add rows, replacing those with the same key."""
-    return current.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
+    kept = lookup_join(current, incoming.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(incoming)
 
 
 def replace_documents(current: DataFrame, incoming: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -74,7 +76,8 @@ def replace_documents(current: DataFrame, incoming: DataFrame, documents: DataFr
     fragment any more; without it they are taken from ``incoming``.
     """
     read = incoming if documents is None else documents
-    return current.join(read.select("document_id").distinct(), "document_id", "left_anti").unionByName(incoming)
+    kept = lookup_join(current, read.select("document_id").distinct(), "document_id", "left_anti")
+    return kept.unionByName(incoming)
 
 
 def _count_status(status: str) -> Column:

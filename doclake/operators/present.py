@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions.terms import highlight_terms
 from doclake.functions.text import SPACE_CLASS, escape_html, preview, snippet
+from doclake.session import lookup_join
 
 # What a space inside a term may stand for, and the marks.
 SPACE_IN_TEXT = rf"(?:[{SPACE_CLASS}]+|<br[{SPACE_CLASS}]*/?>|&lt;br[{SPACE_CLASS}]*/?&gt;)+"
@@ -21,7 +22,7 @@ def with_metadata(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     entry = F.min(F.struct(F.col("title").alias("catalog_title"), F.col("original_filename")))
     known = catalog.groupBy(F.col("id").alias("document_id")).agg(entry.alias("entry"))
     return (
-        hits.join(known, "document_id", "left")
+        lookup_join(hits, known, "document_id", "left")
         .withColumn("display_title", F.coalesce("entry.catalog_title", F.nullif("title", F.lit("")), "document_id"))
         .withColumn("display_file", F.coalesce("entry.original_filename", F.col("source"), F.lit("")))
         .drop("entry")
@@ -63,8 +64,7 @@ def highlight_hits(hits: DataFrame, requests: DataFrame) -> DataFrame:
     """Add the marked snippet to hits, given the requests they answer."""
     patterns = requests.select("query_id", mark_pattern(F.col("query")).alias("_pattern"))
     return (
-        with_snippets(hits)
-        .join(patterns, "query_id")
+        lookup_join(with_snippets(hits), patterns, "query_id", "inner")
         .withColumn("highlighted", highlight(F.col("snippet"), F.col("_pattern")))
         .drop("_pattern")
     )

@@ -10,6 +10,7 @@ from doclake.functions.terms import query_terms
 from doclake.operators.fragments import fragment_haystack
 from doclake.operators.ranking import BLOCK, with_position
 from doclake.operators.search import has_required_terms, score_document
+from doclake.session import lookup_join
 
 
 def check_view_requests(requests: DataFrame) -> DataFrame:
@@ -35,8 +36,7 @@ def search_fragments(fragments: DataFrame, requests: DataFrame) -> DataFrame:
     text, terms = F.col("_text"), F.col("terms")
     asked = requests.withColumn("terms", query_terms(F.col("query"))).drop("query")
     return (
-        fragments.withColumn("_text", fragment_haystack())
-        .join(asked, "document_id")
+        lookup_join(fragments.withColumn("_text", fragment_haystack()), asked, "document_id", "inner")
         .where(has_required_terms(text, terms))
         .withColumn("score", score_document(text, terms))
         .drop("_text", "terms")

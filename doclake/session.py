@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A batch of searches or hot keys is broadcast only below both bounds.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 32 * 1024 * 1024
+# A table is broadcast only after it was measured to be below both bounds.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,10 +46,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, *text_cols: str) -> bool:
-    """Measure a table that may be small enough to broadcast (one tiny aggregate)."""
-    size = F.lit(0).cast("long")
-    for name in text_cols:
-        size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+def fits_broadcast(df: DataFrame) -> bool:
+    """Measure a table that may be small enough to broadcast (one tiny aggregate).
+
+    An element of an array counts as a row of its own, so what is exploded out
+    of a measured table fits as well.
+    """
+    rows, size = F.lit(1).cast("long"), F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            rows = rows + F.greatest(F.size(name), F.lit(0))
+            size = size + F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0))
+    row = df.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES
+
+
+def broadcast_if(few: bool, df: DataFrame) -> DataFrame:
+    """Broadcast a table that a measured table bounds."""
+    return F.broadcast(df) if few else df
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: str | list[str], how: str) -> DataFrame:
+    """Join a table with a lookup that has few rows per key.
+
+    The lookup is written to the shared folder and measured.  A small one is
+    broadcast, so a key that holds a third of ``df`` costs nothing.  A larger
+    one is shuffled straight from its table, which is the shape in which Spark
+    splits the partition of a hot key at run time.
+    """
+    table = stored(lookup, "lookup")
+    return df.join(broadcast_if(fits_broadcast(table), table), keys, how)

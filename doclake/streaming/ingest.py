@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from doclake import schemas
 from doclake.operators.fragments import fragments_from_markdown
+from doclake.session import lookup_join
 from doclake.sources.client_errors import client_errors
 from doclake.sources.markdown import with_identity
 
@@ -73,7 +74,8 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     fragments = spark.read.schema(STORED_FRAGMENT).parquet(f"{store}/fragments")
     ledger = spark.read.schema(LEDGER).parquet(f"{store}/ledger")
     newest = ledger.groupBy("document_id").agg(F.max("batch_id").alias("batch_id"))
-    return fragments.join(newest, ["document_id", "batch_id"], "left_semi").select(*schemas.FRAGMENT.fieldNames())
+    current = lookup_join(fragments, newest, ["document_id", "batch_id"], "left_semi")
+    return current.select(*schemas.FRAGMENT.fieldNames())
 
 
 def compact_store(spark: SparkSession, store: str, path: str) -> None:
