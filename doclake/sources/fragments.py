@@ -27,12 +27,12 @@ def _read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
 def read_fragments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(fragments, quarantine)`` of a folder with one JSON array per document.
 
-    A file that cannot be read gives no fragment, but a row with its path and
-    text in the quarantine.
+    A file that cannot be read gives no fragment, but a row in the quarantine
+    with its path, its text and the id if that much was readable.
     """
     rows = _read_json_arrays(spark, path)
     good = rows.where(F.col(CORRUPT).isNull()).select(*schemas.FRAGMENT.fieldNames())
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select("file_path", F.col(CORRUPT).alias("record"))
+    bad = rows.where(F.col(CORRUPT).isNotNull()).select("file_path", "id", F.col(CORRUPT).alias("record"))
     return good, bad
 
 
