@@ -138,9 +138,15 @@ def test_candidates_come_once_per_search_and_fragment(spark, indexed):
 
 
 def test_hits_are_cut_before_the_shuffle(spark, indexed):
-    plan = search.search(indexed[1], request_rows(spark))._jdf.queryExecution().executedPlan().toString()
+    _, index = indexed
+    asked = search.checked_requests(request_rows(spark))
+    searches = session.stored(search.distinct_searches(asked), "s")
+    vocab = postings.vocabulary(postings.postings(index))
+    candidates = postings.scan_candidates(index, postings.anchors(searches, vocab))
+    plan = search.top_hits(search.score_candidates(candidates))._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and plan.count("WindowGroupLimit") >= 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert plan.count("Exchange hashpartitioning(q") >= 1 and "content_text" not in plan.split("InMemoryTableScan")[0]
 
 
 def view_rows(spark, fragments, queries=("the", "", '"of the" the', "aa la")):
