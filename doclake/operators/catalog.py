@@ -58,6 +58,14 @@ def catalog(library: DataFrame, markdown_stems: DataFrame, scanned: DataFrame) -
     )
 
 
+def document_markdown(docs: DataFrame, document_id: str) -> str:
+    """The body of one document; an unknown document is an error."""
+    row = docs.where(F.col("document_id") == document_id).select("markdown").first()
+    if row is None:
+        raise LookupError(document_id)
+    return row["markdown"]
+
+
 def by_title(df: DataFrame) -> DataFrame:
     return df.orderBy("title", "id")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from doclake.functions import fixed_values as fv
 from doclake.functions import names
 from doclake.operators.catalog import with_flags
+from doclake.operators.fragments import fragments_per_document
 from doclake.session import lookup_join
 
 
@@ -80,6 +81,21 @@ def replace_documents(current: DataFrame, incoming: DataFrame, documents: DataFr
     return kept.unionByName(incoming)
 
 
+def ingest_results(files: DataFrame, fragments: DataFrame) -> DataFrame:
+    """One row per ingested file: where its outputs are and how many fragments it gave."""
+    made = fragments_per_document(fragments)
+    stem = names.stem(F.col("file_name"))
+    outputs = files.select(
+        stem.alias("document_id"),
+        F.col("file_name").alias("source_file"),
+        F.concat(F.lit("markdown/"), stem, F.lit(".md")).alias("markdown_path"),
+        F.concat(F.lit("json/"), stem, F.lit(".json")).alias("json_path"),
+    )
+    return lookup_join(outputs, made, "document_id", "left").select(
+        "source_file", "markdown_path", "json_path", F.coalesce("documents_created", F.lit(0)).alias("documents_created")
+    )
+
+
 def _count_status(status: str) -> Column:
     return F.count_if(F.col("status") == status)
 

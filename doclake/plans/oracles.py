@@ -387,6 +387,15 @@ ORACLES: dict[str, str] = {
           case when target_name in (select concat('RES_', name) from stored) then 'skip'
                when {_suffix("file_name")} = '.pdf' and size_bytes / 1048576.0 > 2.0 then 'compress' else 'copy' end as action
         from planned""",
+    "ingest_results": _from_fragments(
+        f"""select file_name as source_file, concat('markdown/', stem, '.md') as markdown_path,
+          concat('json/', stem, '.json') as json_path, coalesce(n, 0) as documents_created
+        from (select file_name, {_stem("file_name")} as stem from (
+                select concat(document_id, '.pdf') as file_name from markup_docs
+                union all select file_name from ({_view(views.LIBRARY_FILES)}))) f
+        left join (select document_id, count(*) as n from fragments group by document_id) c on c.document_id = f.stem""",
+        f"{MARKUP_DOCS}, md as (select document_id, file_name, markdown from markup_docs)",
+    ),
     "ingest_report": f"""with {LIBRARY}, results as ({_view(views.COPY_RESULTS)})
         select cast(count_if(status = 'compressed') as bigint) as compressed, cast(count_if(status in ('copied', 'timeout')) as bigint) as copied,
           cast(count_if(status = 'timeout') as bigint) as timeouts, cast(count_if(status = 'error') as bigint) as errors, cast(count_if(status = 'skipped') as bigint) as skipped,

@@ -212,6 +212,15 @@ def ingest_plan(v: Views) -> DataFrame:
     return ingest.plan_actions(files, in_target)
 
 
+@query
+def ingest_results(v: Views) -> DataFrame:
+    bodies = v.markup_docs()
+    files = bodies.select(F.concat("document_id", F.lit(".pdf")).alias("file_name")).unionByName(
+        _library(v).select("file_name")
+    )
+    return ingest.ingest_results(files, fragments.fragments_from_markdown(bodies))
+
+
 @query
 def ingest_report(v: Views) -> DataFrame:
     return ingest.copy_report(v.copy_results())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from doclake import schemas, session
@@ -216,6 +217,13 @@ def test_reports(spark):
     assert {r["filename"]: r["saved_percent"] for r in ingest.with_saving(copies).collect()}["a"] == 60.0
 
 
+def test_document_markdown(spark):
+    docs = spark.createDataFrame([("a", "# A")], "document_id string, markdown string")
+    assert catalog.document_markdown(docs, "a") == "# A"
+    with pytest.raises(LookupError):
+        catalog.document_markdown(docs, "b")
+
+
 def test_upsert_and_replace(spark):
     current = spark.createDataFrame([("a-1", "a", 1), ("a-2", "a", 1), ("b-1", "b", 1), ("c-1", "c", 1)], "id string, document_id string, v int")
     incoming = spark.createDataFrame([("a-1", "a", 2), ("d-1", "d", 2)], "id string, document_id string, v int")
