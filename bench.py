@@ -25,7 +25,7 @@ from doclake.sources import index as index_store
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 REGISTERED = [
     "assemble_pages", "plain_texts", "split_sections", "fragments_of_markdown", "fragments_of_pages",

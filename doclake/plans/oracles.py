@@ -434,7 +434,7 @@ ORACLES: dict[str, str] = {
     "fragments_of_pages": _from_fragments("select * from fragments"),
     "slim_index": _from_fragments("select * exclude (content_markdown) from fragments"),
     "search_haystacks": _from_fragments(
-        """select id, haystack, unnest(list_distinct(list_filter(string_split_regex(haystack, '\\s+'), lambda w: w <> ''))) as token
+        """select id, md5(haystack) as haystack_md5, unnest(list_distinct(list_filter(string_split_regex(haystack, '\\s+'), lambda w: w <> ''))) as token
         from (select id, lower(concat(title, ' ', section, ' ', content_text)) as haystack from fragments)"""
     ),
     "viewer_fragments": _from_fragments(

@@ -291,7 +291,7 @@ def slim_index(v: Views) -> DataFrame:
 
 @query
 def search_haystacks(v: Views) -> DataFrame:
-    return _index(v).select("id", "haystack", F.explode("tokens").alias("token"))
+    return _index(v).select("id", F.md5("haystack").alias("haystack_md5"), F.explode("tokens").alias("token"))
 
 
 @query
@@ -366,6 +366,7 @@ def search_single(v: Views) -> DataFrame:
 
 @query
 def search_filtered(v: Views) -> DataFrame:
+    # The equality on an attribute is the operator here.
     index = search.filter_index(_index(v), source="ORD_000005.md")
     return _no_markdown(search.search_one(index, "the", 100))
 

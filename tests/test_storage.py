@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,21 @@ def test_client_errors_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
 
 
+class UnsetSession:
+    """A session without the setting, as far as the shared folder is concerned."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+
+
+def test_shared_folder_without_the_setting():
+    local = UnsetSession("local[2]")
+    assert session.shared_dir(local) == session.shared_dir(local)
+    with pytest.raises(ValueError):
+        session.shared_dir(UnsetSession("yarn"))
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.new_shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.new_shared_path(spark, "x") != session.new_shared_path(spark, "x")
