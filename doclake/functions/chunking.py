@@ -94,7 +94,8 @@ def _pack(section: Column, content: Column, max_chars: int) -> Column:
 
         def part(k: Column) -> Column:
             first, end = F.get(bounds, k - 1), F.get(bounds, k)
-            texts = F.slice(units, first + 1, end - first)["text"]
+            # By position: a slice would copy the whole array once per part.
+            texts = F.transform(F.sequence(first, end - 1), lambda at: F.get(units, at)["text"])
             # A full part is joined the way the unit that did not fit asks for.
             by_line = F.coalesce(F.get(units, end)["gap"] == 1, F.lit(False))
             label = F.when(
