@@ -20,6 +20,8 @@ from doclake.functions.text import (
     strip,
 )
 
+FOLD_BLOCK = 256
+
 HEADER = rf"#{{1,6}}[{INLINE_SPACE_CLASS}]"
 # Looking ahead for the header first is quicker: few characters pass that test.
 SECTION_START = rf"(?={HEADER})(?<=[{LINE_BREAK_CLASS}])"
@@ -51,7 +53,7 @@ def _units(content: Column, max_chars: int) -> Column:
         return F.filter(F.transform(parts, strip), lambda part: part != "")
 
     def unit(text: Column, gap: int) -> Column:
-        return F.struct(text.alias("text"), F.lit(gap).alias("gap"))
+        return F.struct(text.alias("text"), F.length(text).alias("size"), F.lit(gap).alias("gap"))
 
     return F.flatten(
         F.transform(
@@ -67,25 +69,33 @@ def _units(content: Column, max_chars: int) -> Column:
 def _cuts(units: Column, max_chars: int) -> Column:
     """Positions of the units that open a new part.
 
-    The state holds one entry per part, not per unit, so a long section with
-    many short lines stays cheap.
+    A fold copies its state at every step, so the list of cuts must not grow
+    with the section: an inner fold over ``FOLD_BLOCK`` units starts with an
+    empty list, and an outer fold over the blocks puts the lists together.
     """
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("used"),
-        F.array().cast("array<int>").alias("cuts"),
-    )
+    count = F.size(units)
 
-    def step(state: Column, unit: Column) -> Column:
-        size = F.length(unit["text"])
-        full = (state["used"] > 0) & (state["used"] + size > max_chars)
-        return F.struct(
-            (state["at"] + 1).alias("at"),
-            (F.when(full, 0).otherwise(state["used"]) + size + unit["gap"]).alias("used"),
-            F.when(full, F.array_append(state["cuts"], state["at"])).otherwise(state["cuts"]).alias("cuts"),
+    def state(used: Column, cuts: Column) -> Column:
+        return F.struct(used.alias("used"), cuts.alias("cuts"))
+
+    def nothing() -> Column:
+        return F.array().cast("array<int>")
+
+    def step(before: Column, at: Column) -> Column:
+        unit = F.get(units, at)
+        full = (before["used"] > 0) & (before["used"] + unit["size"] > max_chars)
+        return state(
+            F.when(full, 0).otherwise(before["used"]) + unit["size"] + unit["gap"],
+            F.when(full, F.array_append(before["cuts"], at)).otherwise(before["cuts"]),
         )
 
-    return F.aggregate(units, start, step, lambda state: state["cuts"])
+    def block(before: Column, first: Column) -> Column:
+        positions = F.sequence(first, F.least(first + FOLD_BLOCK, count) - 1)
+        inner = F.aggregate(positions, state(before["used"], nothing()), step)
+        return let(inner, lambda after: state(after["used"], F.concat(before["cuts"], after["cuts"])))
+
+    blocks = F.sequence(F.lit(0), count - 1, F.lit(FOLD_BLOCK))
+    return F.aggregate(blocks, state(F.lit(0), nothing()), block, lambda after: after["cuts"])
 
 
 def _pack(section: Column, content: Column, max_chars: int) -> Column:
