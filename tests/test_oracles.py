@@ -7,9 +7,8 @@ import pytest
 from conftest import SF_DIR, TABLES
 
 import __spark_entry__ as entry_module
-
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+from doclake.plans.oracles import ORACLES
+from doclake.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +30,8 @@ def normal(rows):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
