@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doclake.llm import token_counts, token_files
+from doclake.llm import secrets, token_counts, token_files
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -33,6 +34,68 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_offsets(found, offsets).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = new_shared_path(spark, "ledger")
+    docs = table(spark, sf_dir, "documents")
+    secrets.scan(docs, ledger, path_col="doc_id")
+    found = secrets.findings_by_path(docs, ledger, path_col="doc_id")
+    # The ledger adds no spans of its own, so the spans are the base ones.
+    return found.select(
+        F.col("path").alias("doc_id"),
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("spans", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
+_ASSIGN = "".join(
+    (
+        "(",
+        "|".join(
+            "_?".join("".join(f"[{c.upper()}{c}]" for c in part) for part in word.split("_?"))
+            for word in ("password", "passwd", "secret", "token", "api_?key")
+        ),
+        ")",
+        r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    )
+)
+_BASE_RULES = ((0, "assign", _ASSIGN, 2, 6), (1, "access", "AKIA[A-Z0-9]+", 0, 20), (2, "hex", "[0-9a-f]+", 0, 24))
+
+LLM_ORACLES["op3_secret_scan"] = (
+    "with docs as (select doc_id, coalesce(text, '') as text from documents), matches as ("
+    + " union all ".join(
+        f"""
+  select doc_id, {n} as kind_no, '{kind}' as kind, {least} as least, string_split_regex(text, '{pattern}') as gaps,
+         regexp_extract_all(text, '{pattern}') as hits, regexp_extract_all(text, '{pattern}', {group}) as parts
+  from docs"""
+        for n, kind, pattern, group, least in _BASE_RULES
+    )
+    + """),
+pieces as (
+  select doc_id, kind_no, kind, least, unnest(gaps[1:len(hits)]) as gap, unnest(hits) as hit, unnest(parts) as part,
+         unnest(range(1, len(hits) + 1)) as n
+  from matches),
+placed as (
+  select doc_id, kind_no, kind, hit, length(part) >= least as kept,
+         sum(length(gap) + length(hit)) over (partition by doc_id, kind_no order by n) as stop
+  from pieces),
+spans as (
+  select doc_id, kind_no, stop - length(hit) as start, concat(kind, ':', stop - length(hit), ':', stop) as span
+  from placed where kept),
+joined as (
+  select doc_id, count(*) filter (where kind_no = 0) as n_assign, count(*) filter (where kind_no = 1) as n_access,
+         count(*) filter (where kind_no = 2) as n_hex, string_agg(span, ',' order by start, kind_no) as spans
+  from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from docs d left join joined j on d.doc_id = j.doc_id
+"""
+)
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
