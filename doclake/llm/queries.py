@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import secrets, token_counts, token_files
+from doclake.llm import secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -96,6 +96,12 @@ from docs d left join joined j on d.doc_id = j.doc_id
 )
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
