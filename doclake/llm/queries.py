@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import secrets, token_counts, token_files, toxicity
+from doclake.llm import piece_transducer, secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -23,6 +23,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "tokens")
