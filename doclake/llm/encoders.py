@@ -38,6 +38,8 @@ def pack(ids) -> bytes:
 class Encoder:
     """Cuts texts into pieces and keeps what the library made of each piece."""
 
+    _cuts = False
+
     def __init__(self) -> None:
         self._known: dict[str, bytes] = {"": b""}
 
@@ -53,7 +55,7 @@ class Encoder:
         waiting: list[tuple[int, list[str]]] = []
         chars = 0
         for row, text in enumerate(texts):
-            for segment in segments(text):
+            for segment in segments(text) if self._cuts else (text,):
                 waiting.append((row, self.pieces(segment)))
                 chars += len(segment)
                 if chars > 4 * SEGMENT_CHARS:

@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from doclake.llm.encoders import Encoder
 from doclake.llm.common import id_and_text, slices_by_bytes
 
 SPACE = "▁"
@@ -48,9 +50,9 @@ INFINITE = float("inf")
 # Arcs are below this in size, so two of them make one number.
 PAIR = 1 << 32
 
-CACHE_PARTS = 500_000
 CACHE_PAIRS = 1_000_000
-SEGMENT_CHARS = 1 << 20
+TABLE_CLASSES, TABLE_CHARS, TABLE_ROWS = 160, 40, 20_000
+NO_ARC = np.iinfo(np.int64).min
 BATCH_BYTES = 4 * 1024 * 1024
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, n_fallback long, decoded_crc32 long, round_trip boolean"
@@ -66,8 +68,9 @@ def load(path: str) -> "Transducer":
     return _machines[path]
 
 
-class Transducer:
+class Transducer(Encoder):
     def __init__(self, model: bytes) -> None:
+        super().__init__()
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -104,8 +107,9 @@ class Transducer:
         self._spelling = [self._spell(n) for n in range(len(self._text_of))]
         self._controls = {n for n, kind in enumerate(self._type_of) if kind == CONTROL}
         self._is_byte = np.array([kind == BYTE for kind in self._type_of])
-        self._parts: dict[str, bytes] = {}
+        self._cuts = self._split is not None and self._front
         self._licences: dict[int, bool] = {}
+        self._compile_table()
 
     # --- encoding ---------------------------------------------------------
 
@@ -113,25 +117,124 @@ class Transducer:
         text = text.replace(" ", SPACE)
         return SPACE + text if self._front and text else text
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as packed little-endian integers of 32 bits."""
-        if not text or self._split is None:
-            return self._part(self.normalise(text)) if text else b""
-        left, found, known = SPACE if self._front else "", [], self._parts
-        for start in range(0, len(text), SEGMENT_CHARS):
-            parts = self._split.findall(left + text[start : start + SEGMENT_CHARS].replace(" ", SPACE))
-            # The last part of a block may go on in the next one.
-            left = parts.pop() if start + SEGMENT_CHARS < len(text) else ""
-            found.append(b"".join([known.get(part) or self._part(part) for part in parts]))
-        return b"".join(found)
-
-    def _part(self, part: str) -> bytes:
-        if len(self._parts) > CACHE_PARTS:
-            self._parts.clear()
-        packed = array("I", self._shortest_path(part)).tobytes()
-        if len(part) < 64:
-            self._parts[part] = packed
-        return packed
+    def pieces(self, text: str) -> list[str]:
+        normal = self.normalise(text)
+        return self._split.findall(normal) if self._cuts else [normal]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        short = [piece for piece in pieces if 0 < len(piece) <= TABLE_CHARS]
+        short.sort(key=len, reverse=True)
+        for start in range(0, len(short), TABLE_ROWS):
+            self._shortest_paths(short[start : start + TABLE_ROWS], found)
+        return [found[p] if p in found else array("I", self._shortest_path(p)).tobytes() if p else b"" for p in pieces]
+
+    def _compile_table(self) -> None:
+        """The trie as a table of states by characters, for the characters most pieces use.
+
+        State 0 is dead, state 1 the root; class 0 is every other character.
+        """
+        used = Counter(c for piece in self._score for c in piece)
+        common = [c for c, _ in used.most_common(TABLE_CLASSES - 1)]
+        self._class_of = np.zeros(0x110000, np.uint8)
+        self._class_of[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        self._rare = np.zeros(0x110000, bool)
+        self._rare[[ord(c) for c in used if c not in set(common)]] = True
+        classes = {c: n + 1 for n, c in enumerate(common)}
+        rows, arcs, waiting = [[0] * TABLE_CLASSES, [0] * TABLE_CLASSES], [NO_ARC, NO_ARC], [(1, self._trie)]
+        for state, node in waiting:
+            for c, child in node.items():
+                if c in classes:
+                    rows[state][classes[c]] = len(rows)
+                    waiting.append((len(rows), child))
+                    rows.append([0] * TABLE_CLASSES)
+                    arcs.append(child.get("", NO_ARC))
+            rows[state] = np.array(rows[state], np.int32)
+        rows[0] = np.array(rows[0], np.int32)
+        self._table, self._arc_of = np.stack(rows), np.array(arcs, np.int64)
+        self._weight_of = np.array(self._weights)
+
+    def _shortest_paths(self, parts: list[str], found: dict[str, bytes]) -> None:
+        """The shortest paths of many parts at once, longest part first.
+
+        The machines are composed with all parts position by position: what
+        ``_shortest_path`` does for one part is done here for a column.  Parts
+        with characters outside the table are left to it.
+        """
+        lengths = np.array([len(p) for p in parts])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        offsets = np.cumsum(lengths) - lengths
+        odd = np.logical_or.reduceat(self._rare[codes], offsets)
+        classes, width = self._class_of[codes], int(lengths[0])
+        best = np.full((len(parts), width + 1), INFINITE)
+        best[:, 0] = 0.0
+        last = np.zeros((len(parts), width + 1), np.int64)
+        back = np.zeros((len(parts), width + 1), np.int64)
+        for start in range(width):
+            rows = np.flatnonzero((lengths > start) & (best[:, start] < INFINITE) & ~odd)
+            if not len(rows):
+                continue
+            code = codes[offsets[rows] + start]
+            state = self._table[1, classes[offsets[rows] + start]]
+            arc = self._arc_of[state]
+            arc = np.where(arc == NO_ARC, -1 - code.astype(np.int64), arc)
+            taken, end = [(rows, np.full(len(rows), start + 1), arc)], start + 1
+            while True:
+                on = (state > 0) & (lengths[rows] > end)
+                rows, state = rows[on], state[on]
+                if not len(rows):
+                    break
+                state = self._table[state, classes[offsets[rows] + end]]
+                end += 1
+                arc = self._arc_of[state]
+                final = arc != NO_ARC
+                taken.append((rows[final], np.full(int(final.sum()), end), arc[final]))
+            rows, ends, arcs = (np.concatenate(x) for x in zip(*taken))
+            step = np.where(arcs >= 0, self._weight_of[np.maximum(arcs, 0)], self._fallback)
+            total = best[rows, start] + step
+            better = total < best[rows, ends]
+            if self.kind == BPE and start:
+                better[better] = self._licence_all(last[rows[better], start], arcs[better])
+            rows, ends = rows[better], ends[better]
+            best[rows, ends], last[rows, ends], back[rows, ends] = total[better], arcs[better], start
+        steps, at, rows = [], lengths.copy(), np.arange(len(parts))
+        counts = np.zeros(len(parts), np.int64)
+        at[odd] = 0
+        while (going := at > 0).any():
+            steps.append(np.where(going, last[rows, at], 0))
+            counts += going
+            at = np.where(going, back[rows, at], 0)
+        if not steps:
+            return
+        # Steps were taken from the end; row by row they are turned round.
+        turned = np.stack(steps, 1)
+        place = counts[:, None] - 1 - np.arange(turned.shape[1])[None, :]
+        there = place >= 0
+        flat_at = (np.cumsum(counts) - counts)[:, None] + place
+        flat = np.zeros(int(counts.sum()), np.int64)
+        flat[flat_at[there]] = turned[there]
+        bare = (turned < 0).any(1)
+        packed = np.maximum(flat, 0).astype("<u4").tobytes()
+        begin = 0
+        for part, count, fall, skip in zip(parts, counts.tolist(), bare.tolist(), odd.tolist()):
+            end = begin + count
+            if fall:
+                found[part] = array("I", self._fall_back(flat[begin:end].tolist())).tobytes()
+            elif not skip:
+                found[part] = packed[4 * begin : 4 * end]
+            begin = end
+
+    def _licence_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs, inverse = np.unique(left * PAIR + right, return_inverse=True)
+        known, free = self._licences, []
+        for pair in pairs.tolist():
+            value = known.get(pair)
+            if value is None:
+                # The right arc may be below zero, down to half the range.
+                arc = (pair + PAIR // 2) % PAIR - PAIR // 2
+                value = self._licence(pair, (pair - arc) // PAIR, arc)
+            free.append(value)
+        return np.array(free, bool)[inverse]
 
     def _shortest_path(self, text: str) -> list[int]:
         """Compose the machines with a text and follow the path of least weight.
@@ -281,8 +384,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids, texts = batch.column("doc_id"), batch.column("text")
             for start, end in slices_by_bytes(texts, BATCH_BYTES):
                 lists, counts, fallback, sums, same = [], [], [], [], []
-                for text in texts.slice(start, end - start).to_pylist():
-                    packed = machine.encode(text)
+                listed = texts.slice(start, end - start).to_pylist()
+                for text, packed in zip(listed, machine.encode(listed)):
                     decoded = machine.decode(memoryview(packed).cast("I"))
                     lists.append(packed)
                     counts.append(len(packed) // 4)
