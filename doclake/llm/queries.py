@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import piece_transducer, secrets, token_counts, token_files, toxicity
+from doclake.llm import maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -101,6 +101,27 @@ from docs d left join joined j on d.doc_id = j.doc_id
 )
 
 
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract states the queries: every id that 20 divides, against all rows.
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+LLM_ORACLES["op5_top_k"] = """
+with fit as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from fit q join fit c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+  from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
