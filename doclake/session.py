@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A table is broadcast only after it was measured to be below both bounds.
 BROADCAST_ROWS = 1_000_000
@@ -50,20 +51,59 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column | None:
+    """The size of a value with all it holds; None for a type that is not known here."""
+    zero = F.lit(0).cast("long")
+    if isinstance(kind, _FIXED):
+        return F.lit(16).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), zero)
+    if isinstance(kind, T.StructType):
+        sizes = [_bytes(value.getField(field.name), field.dataType) for field in kind.fields]
+        return None if any(x is None for x in sizes) else sum(sizes, F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, _FIXED):
+            return 16 * (F.lit(1) + F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("long"))
+        if _bytes(F.lit(None), kind.elementType) is None:
+            return None
+        total = F.aggregate(value, zero, lambda sofar, x: sofar + _bytes(x, kind.elementType))
+        return F.lit(16) + F.coalesce(total, zero)
+    if isinstance(kind, T.MapType):
+        parts = [
+            _bytes(part, T.ArrayType(one))
+            for part, one in ((F.map_keys(value), kind.keyType), (F.map_values(value), kind.valueType))
+        ]
+        return None if any(x is None for x in parts) else parts[0] + parts[1]
+    return None
+
+
+def _elements(value: Column, kind: T.DataType) -> list[Column]:
+    """How many rows an array or map, or one inside a struct, gives when it is exploded."""
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return [F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("long")]
+    if isinstance(kind, T.StructType):
+        return [n for field in kind.fields for n in _elements(value.getField(field.name), field.dataType)]
+    return []
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Measure a table that may be small enough to broadcast (one tiny aggregate).
 
-    An element of an array counts as a row of its own, so what is exploded out
-    of a measured table fits as well.
+    Structs, arrays and maps are measured with all they hold; a column of a type
+    whose size is not known makes the table too big.  An element of an array
+    counts as a row of its own, so what is exploded out of a measured table fits
+    as well.
     """
-    rows, size = F.lit(1).cast("long"), F.lit(16 * len(df.columns)).cast("long")
-    for name, kind in df.dtypes:
-        if kind == "string":
-            size = size + F.coalesce(F.octet_length(name), F.lit(0))
-        elif kind == "array<string>":
-            rows = rows + F.greatest(F.size(name), F.lit(0))
-            size = size + F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0))
-    row = df.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    sizes = [_bytes(F.col(f"`{field.name}`"), field.dataType) for field in df.schema.fields]
+    if any(size is None for size in sizes):
+        return False
+    rows = sum((n for field in df.schema.fields for n in _elements(F.col(f"`{field.name}`"), field.dataType)), F.lit(1))
+    size = sum(sizes, F.lit(16).cast("long"))
+    zero = F.lit(0).cast("long")
+    row = df.agg(F.coalesce(F.sum(rows), zero).alias("n"), F.coalesce(F.sum(size), zero).alias("bytes")).first()
     return row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES
 
 

@@ -274,3 +274,25 @@ def test_only_name_cleaning_leaves_the_jvm(spark):
     plan = fragments.search_index(fragments.fragments_from_pages(table))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("REPARTITION_BY_COL") >= 1
+
+
+def test_broadcast_measures_nested_columns(spark):
+    """Two thousand rows with 100 kB of text inside a struct are 200 MB, not 2,000 rows."""
+    from doclake.session import fits_broadcast
+
+    big = F.repeat(F.lit("x"), 100_000)
+    nested = [
+        F.struct(big.alias("text")),
+        F.array(F.struct(big.alias("text"))),
+        F.create_map(F.lit("k"), big),
+        F.array(F.array(big)),
+    ]
+    for column in nested:
+        assert not fits_broadcast(spark.range(2000).select(column.alias("entry")))
+    small = spark.range(10).select(
+        F.struct(F.lit("a").alias("text")).alias("s"), F.array(F.lit(1)).alias("a"), F.lit(None).alias("n")
+    )
+    assert fits_broadcast(small)
+    assert fits_broadcast(small.where("false"))
+    assert not fits_broadcast(spark.range(3).select(F.sequence(F.lit(1), F.lit(400_000)).alias("many")))
+    assert not fits_broadcast(spark.range(1).select(F.parse_json(F.lit("1")).alias("v")))
