@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
+from doclake.llm import line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -133,3 +133,31 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op9_line_dedup"] = r"""
+with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+rows as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as n from docs),
+pairs as (
+  select doc_id, n, line as a, lead(line) over (partition by doc_id order by n) as b from rows),
+marked as (
+  select doc_id, n, row_number() over (partition by a, b order by doc_id, n) > 1 as later
+  from pairs where b is not null and (regexp_matches(a, '\S') or regexp_matches(b, '\S'))),
+gone as (
+  select r.doc_id, r.n, r.line, coalesce(x.later, false) or coalesce(y.later, false) as gone
+  from rows r left join marked x on r.doc_id = x.doc_id and r.n = x.n
+  left join marked y on r.doc_id = y.doc_id and r.n = y.n + 1),
+runs as (
+  select *, n - row_number() over (partition by doc_id, gone order by n) as run from gone),
+lengths as (select doc_id, run, count(*) as length from runs where gone group by doc_id, run),
+per_doc as (select doc_id, count(*) as n_runs, max(length) as longest_run from lengths group by doc_id)
+select g.doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, any_value(coalesce(p.n_runs, 0)) as n_runs,
+       any_value(coalesce(p.longest_run, 0)) as longest_run,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
+from gone g left join per_doc p on g.doc_id = p.doc_id group by g.doc_id
+"""
