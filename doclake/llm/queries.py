@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
+from doclake.llm import jaccard_join, line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -161,3 +161,9 @@ select g.doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
        sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
 from gone g left join per_doc p on g.doc_id = p.doc_id group by g.doc_id
 """
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.groups(table(spark, sf_dir, "documents"), size=3, threshold=90)
+    return found.select("doc_id", "n_shingles", "component_id")
