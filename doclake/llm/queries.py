@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import jaccard_join, line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
+from doclake.llm import decontamination, jaccard_join, line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -101,6 +101,12 @@ from docs d left join joined j on d.doc_id = j.doc_id
 )
 
 
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("doc_version")
+
+
 @query
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The contract states the queries: every id that 20 divides, against all rows.
@@ -167,3 +173,10 @@ from gone g left join per_doc p on g.doc_id = p.doc_id group by g.doc_id
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.groups(table(spark, sf_dir, "documents"), size=3, threshold=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -261,3 +261,19 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
 
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, start long, end long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more, same columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, bias, plain = _Weights(model).__getitem__, model.bias, _softplus(model.bias)
+        limit = -math.log1p(-threshold)
+        for batch in batches:
+            stays = []
+            for text in batch.column(text_col).to_pylist():
+                total = [_softplus(bias + added) for _, _, added in _sentence_scores(text or "", weigh)]
+                stays.append((sum(total) if total else plain) < limit)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
