@@ -73,9 +73,11 @@ def _meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
         whole = length == 2 * WINDOW - 1
         width, stride = (WINDOW, WINDOW) if whole else (length, 1)
         chosen = item_words.where(F.size("words") >= length if whole else F.size("words") == length)
-        asked = chosen.select("item_id", "item_version", F.posexplode(_windows(F.col("words"), width, 1)).alias("at", "hash"))
+        asked = chosen.select("item_id", "item_version", F.posexplode_outer(_windows(F.col("words"), width, 1)).alias("at", "hash"))
         asked = stored(asked, "windows")
-        tiles = doc_words.select("doc_id", "doc_version", F.posexplode(_windows(F.col("words"), width, stride)).alias("n", "hash"))
+        # The outer form, as the inner one adds a filter that works out all windows once more.
+        hashes = _windows(F.col("words"), width, stride)
+        tiles = doc_words.select("doc_id", "doc_version", F.posexplode_outer(hashes).alias("n", "hash"))
         met = tiles.join(broadcast_if(fits_broadcast(asked), asked), "hash")
         met = met.select("doc_id", "doc_version", "item_id", "item_version", (F.col("n") * stride - F.col("at")).alias("shift"))
         found = met if found is None else found.unionByName(met)

@@ -108,7 +108,7 @@ def _spans(blobs: DataFrame, rules) -> DataFrame:
     """
     found = [_matches(rule) for rule in rules]
     matched = blobs.where(_any(F.col("text").rlike(rule.pattern) for rule in rules))
-    each = matched.select("blob_id", F.posexplode(F.concat(*found)).alias("n", "m")).select("blob_id", "n", "m.*")
+    each = matched.select("blob_id", F.posexplode_outer(F.concat(*found)).alias("n", "m")).select("blob_id", "n", "m.*")
     upto = Window.partitionBy("blob_id", "rule").orderBy("n")
     end = F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(upto)
     placed = each.withColumn("end", end).where("kept")
