@@ -34,8 +34,9 @@ UNITS = (
     "litres dollars cents euros degrees"
 ).split()
 
-_UNIT = r"(?<=\p{N}\x20?)(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
-_NAME = r"(?<=[\p{Ll}\p{N}][,;]?\x20)\p{Lu}\p{Ll}+"
+# Each pattern opens with the rarest class, so most places fail at one look.
+_UNIT = r"([0-9]\x20?)(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}(?<=[\p{Ll}0-9][,;]?\x20\p{Lu})\p{Ll}+"
 _WORD = f"[\\p{{L}}\\p{{N}}{NAME}{UNIT}]+"
 
 
@@ -45,8 +46,8 @@ def _words(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The words of a text with typed placeholders; one for each word of the text."""
-    marked = F.regexp_replace(F.regexp_replace(text, _UNIT, UNIT), _NAME, NAME)
-    return _words(F.lower(F.regexp_replace(marked, r"\p{N}+", NUMBER)))
+    marked = F.regexp_replace(F.regexp_replace(text, _UNIT, "$1" + UNIT), _NAME, NAME)
+    return _words(F.lower(F.regexp_replace(marked, "[0-9]+", NUMBER)))
 
 
 def _windows(words: Column, length: int, stride: int) -> Column:
