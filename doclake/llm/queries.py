@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.llm import decontamination, jaccard_join, line_dedup, maxscore, piece_transducer, secrets, token_counts, token_files, toxicity
+from doclake.llm import (
+    decontamination,
+    jaccard_join,
+    line_dedup,
+    maxscore,
+    piece_transducer,
+    secrets,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from doclake.llm.common import table
 from doclake.session import new_shared_path
 
@@ -180,3 +191,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.byte_report(table(spark, sf_dir, "documents"))
