@@ -38,20 +38,25 @@ def list_documents(markdown_files: DataFrame) -> DataFrame:
     )
 
 
-def catalog(library: DataFrame, markdown_stems: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Catalog of a library listing.
-
-    ``markdown_stems`` has the stems that are converted (``id``), ``scanned``
-    the ids of scanned documents (``document_id``).
-    """
+def listing(library: DataFrame) -> DataFrame:
+    """The catalog without its flags, from the names alone; enough to count, filter and search titles."""
     name = F.col("file_name")
-    files = library.where(name != "").select(
+    return library.where(name != "").select(
         names.stem(name).alias("id"),
         names.display_name(name).alias("title"),
         name.alias("filename"),
         names.original_filename(name).alias("original_filename"),
         names.category(names.stem(name)).alias("category"),
     )
+
+
+def catalog(library: DataFrame, markdown_stems: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Catalog of a library listing.
+
+    ``markdown_stems`` has the stems that are converted (``id``), ``scanned``
+    the ids of scanned documents (``document_id``).
+    """
+    files = listing(library)
     ids_scanned = scanned.select(F.col("document_id").alias("id"))
     return with_flags(files, "id", converted=markdown_stems, is_scanned=ids_scanned).select(
         "id", "title", "filename", "original_filename", "converted", "is_scanned", "category"

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from doclake.functions import chunking, names
 from doclake.functions import fixed_values as fv
 from doclake.functions.text import haystack, is_blank, or_empty, plain_text, strip
-from doclake.operators.pages import page_part
+from doclake.operators.pages import PAGE_BLOCK, page_part
 from doclake.operators.postings import text_tokens
 from doclake.operators.ranking import block_starts
-
-PAGE_BLOCK = 64
+from doclake.session import lookup_join, stored
 
 FRAGMENT_COLUMNS = [
     "id", "document_id", "title", "section", "chunk_number", "source", "content_markdown", "content_text",
@@ -67,41 +66,37 @@ def fragments_from_pages(pages: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CHAR
     The blank lines in front of the first header are a (blank) piece of their
     own in the assembled body; it is the 1 in the numbering.
 
-    Counting and numbering both start from the same shuffle of the raw pages,
-    so the text moves once.
+    Pieces are cut once, numbered within their page and written to the shared
+    folder; the counts are read from there, and pieces need no shuffle while the
+    counts are few.  Pages without a document or number give no fragment, see
+    :func:`doclake.operators.pages.page_errors`.
     """
-    block = F.floor(F.col("page_no") / PAGE_BLOCK).alias("page_block")
-    spread = (
-        pages.select("document_id", "page_no", "page_text", block)
-        .where(F.col("document_id").isNotNull() & F.col("page_block").isNotNull())
-        .repartition("document_id", "page_block")
-    )
     body = F.ltrim(page_part(F.col("page_no"), F.col("page_text")), F.lit("\n"))
-    cut = spread.select(
+    placed = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
+    cut = placed.select(
         "document_id",
         "page_no",
-        "page_block",
-        chunking.pieces(chunking.sections(body), max_chars).alias("pieces"),
+        F.floor(F.col("page_no") / PAGE_BLOCK).alias("page_block"),
+        F.posexplode_outer(chunking.pieces(chunking.sections(body), max_chars)),
     )
-    starts = block_starts(cut, ["document_id"], ["page_block"], F.size("pieces")).drop("group_total")
+    pieces = stored(cut.select("document_id", "page_no", "page_block", "pos", "col.*"), "pieces")
+    counts = pieces.groupBy("document_id", "page_block", "page_no").agg(F.count("pos").alias("n"))
+    starts = block_starts(counts, ["document_id"], ["page_block"], F.col("n")).drop("group_total")
     earlier = (
         Window.partitionBy("document_id", "page_block")
         .orderBy("page_no")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    numbered = (
-        cut.withColumn("_before", F.coalesce(F.sum(F.size("pieces")).over(earlier), F.lit(0)))
-        .join(starts, ["document_id", "page_block"])
-        .select(
-            "document_id",
-            F.concat("document_id", F.lit(".md")).alias("source"),
-            (F.col("block_start") + F.col("_before") + 2).alias("_first"),
-            F.posexplode("pieces"),
-        )
-        .select(
-            "document_id", "source", (F.col("_first") + F.col("pos")).alias("chunk_number"),
-            "col.section", "col.content",
-        )
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    firsts = before.join(starts, ["document_id", "page_block"]).select(
+        "document_id", "page_no", (F.col("block_start") + F.col("_before") + 2).alias("_first")
+    )
+    numbered = lookup_join(pieces, firsts, ["document_id", "page_no"], "inner").select(
+        "document_id",
+        F.concat("document_id", F.lit(".md")).alias("source"),
+        (F.col("_first") + F.col("pos")).alias("chunk_number"),
+        "section",
+        "content",
     )
     return _to_fragments(numbered)
 

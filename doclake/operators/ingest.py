@@ -65,9 +65,16 @@ def plan_actions(files: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Add rows, replacing those with the same key."""
-    kept = lookup_join(current, incoming.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(incoming)
+    """Add rows, replacing those with the same key.
+
+    Of several new rows with one key the largest wins, column by column in the
+    order of the table; keys of the result are unique if those of ``current`` are.
+    """
+    others = [c for c in incoming.columns if c != key]
+    largest = F.max(F.struct(*others)).alias("_row")
+    newest = incoming.groupBy(key).agg(largest).select(key, "_row.*").select(*incoming.columns)
+    kept = lookup_join(current, newest.select(key), key, "left_anti")
+    return kept.unionByName(newest)
 
 
 def replace_documents(current: DataFrame, incoming: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -107,7 +114,7 @@ def run_summary(results: DataFrame) -> DataFrame:
         _count_status("success").alias("processed"),
         _count_status("error").alias("errors"),
         F.coalesce(F.sum(made), F.lit(0)).alias("total_fragments"),
-        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"),
+        F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 3).alias("total_seconds"),
     )
 
 

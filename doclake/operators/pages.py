@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from doclake.functions import fixed_values as fv
 from doclake.functions.text import LINE_BREAK, is_blank, or_empty, strip
+from doclake.session import lookup_join
 
-VOLUME_PAGES = 1000
+PAGE_BLOCK = 64
 
 
 def page_part(page_no: Column, page_text: Column) -> Column:
@@ -19,25 +20,37 @@ def page_part(page_no: Column, page_text: Column) -> Column:
     )
 
 
-def assemble_pages(pages: DataFrame, volume_pages: int = VOLUME_PAGES) -> DataFrame:
-    """``(document_id, volume, file_name, markdown)`` with the pages of a volume in order.
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """``(document_id, file_name, markdown)``: one body per document, its pages in order.
 
-    One Markdown body per document, except that a document with more pages than
-    ``volume_pages`` is kept as several volumes: no page is left out, and no
-    group that is collected grows with the document.  To get fragments use
+    Pages are joined in blocks of ``PAGE_BLOCK`` page numbers first and the
+    blocks next, so no task sorts the pages of a whole document; a body itself
+    is as long as its document.  Pages without a document or number have no
+    place in a body, see :func:`page_errors`.  To get fragments use
     :func:`doclake.operators.fragments.fragments_from_pages`, which needs no
     body at all.
     """
-    parts = pages.select(
+    parts = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull()).select(
         "document_id",
-        F.floor((F.col("page_no") - 1) / volume_pages).cast("int").alias("volume"),
+        F.floor(F.col("page_no") / PAGE_BLOCK).alias("block"),
         F.struct("page_no", page_part(F.col("page_no"), F.col("page_text")).alias("part")).alias("page"),
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda page: page["part"]), "")
-    return (
-        parts.groupBy("document_id", "volume")
-        .agg(body.alias("markdown"))
-        .select("document_id", "volume", F.concat("document_id", F.lit(".md")).alias("file_name"), "markdown")
+    blocks = parts.groupBy("document_id", "block").agg(_in_order("page").alias("part"))
+    bodies = blocks.groupBy("document_id").agg(_in_order(F.struct("block", "part")).alias("markdown"))
+    return bodies.select("document_id", F.concat("document_id", F.lit(".md")).alias("file_name"), "markdown")
+
+
+def _in_order(parts: Column | str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["part"]), "")
+
+
+def page_errors(pages: DataFrame) -> DataFrame:
+    """``(filename, status, error)`` for pages that no document or number places."""
+    lost = pages.where(F.col("document_id").isNull() | F.col("page_no").isNull())
+    return lost.select(
+        F.coalesce("document_id", F.lit("")).alias("filename"),
+        F.lit("error").alias("status"),
+        F.when(F.col("document_id").isNull(), F.lit("Página sin documento")).otherwise(F.lit("Página sin número")).alias("error"),
     )
 
 
@@ -64,7 +77,9 @@ def select_extraction(candidates: DataFrame, heavy: DataFrame) -> DataFrame:
     The structured text is dropped for vector-heavy documents; the fallback is
     taken when the structured text is almost empty and the fallback is not.
     """
-    joined = candidates.join(heavy, "document_id", "left")
+    # Only the ids of heavy documents meet the texts, which need no shuffle while those are few.
+    marked = heavy.where("is_vector_heavy").select("document_id", "is_vector_heavy")
+    joined = lookup_join(candidates, marked, "document_id", "left")
     dropped = F.coalesce("is_vector_heavy", F.lit(False))
     structured = F.when(dropped, F.lit("")).otherwise(or_empty(F.col("structured")))
     chosen = joined.select(

@@ -14,16 +14,28 @@ from doclake.session import lookup_join
 
 
 def check_view_requests(requests: DataFrame) -> DataFrame:
-    """Requests with default page values, limited to the allowed range."""
-    page = F.greatest(F.coalesce("page", F.lit(1)), F.lit(1))
-    size = F.coalesce("page_size", F.lit(fv.DEFAULT_PAGE_SIZE))
-    return requests.select(
-        "request_id",
-        "document_id",
-        "query",
-        page.alias("page"),
-        F.least(F.greatest(size, F.lit(1)), F.lit(fv.MAX_PAGE_SIZE)).alias("page_size"),
+    """Requests in the allowed range, with default page values.
+
+    The others are in :func:`rejected_view_requests`.
+    """
+    page, size = _page_values()
+    return requests.where((page >= 1) & size.between(1, fv.MAX_PAGE_SIZE)).select(
+        "request_id", "document_id", "query", page.alias("page"), size.alias("page_size")
+    )
+
+
+def _page_values() -> tuple[Column, Column]:
+    return F.coalesce("page", F.lit(1)), F.coalesce("page_size", F.lit(fv.DEFAULT_PAGE_SIZE))
+
+
+def rejected_view_requests(requests: DataFrame) -> DataFrame:
+    """``(request_id, field, value)`` for every page or page size out of range."""
+    page, size = _page_values()
+    wrong = F.array(
+        F.when(page < 1, F.struct(F.lit("page").alias("field"), page.cast("long").alias("value"))),
+        F.when(~size.between(1, fv.MAX_PAGE_SIZE), F.struct(F.lit("page_size").alias("field"), size.cast("long").alias("value"))),
     )
+    return requests.select("request_id", F.explode(wrong).alias("w")).where("w is not null").select("request_id", "w.*")
 
 
 def unknown_documents(fragments: DataFrame, requests: DataFrame) -> DataFrame:

@@ -76,6 +76,16 @@ PAGE_DOCS = f"""
                       '' order by page_no) as markdown
     from page_texts group by document_id)"""
 
+LOOSE_DOCS = f"""
+  loose as ({_view(views.LOOSE_PAGES)}),
+  md as (
+    select document_id, concat(document_id, '.md') as file_name,
+           string_agg(concat(chr(10), chr(10), '## Página ', page_no, chr(10), chr(10),
+                      case when regexp_matches(page_text, '\\S') then page_text
+                           else concat('*[Página sin texto legible extraíble]*', chr(10)) end),
+                      '' order by page_no) as markdown
+    from loose where document_id is not null and page_no is not null group by document_id)"""
+
 MARKUP_DOCS = f"markup_docs as ({_view(views.MARKUP_DOCS)})"
 
 ALL_DOCS = f"""{PAGE_DOCS}, {MARKUP_DOCS},
@@ -277,7 +287,7 @@ def _document_noise(source: str) -> str:
 
 
 CATALOG = f"""{LIBRARY},
-  library_texts as (select stem as document_id, text as content_text from files),
+  library_texts as (select {_stem("file_name")} as document_id, text as content_text from ({_view(views.LIBRARY_TEXTS)}) t),
   {_document_noise("library_texts")},
   catalog as (
     select stem as id, {_humanize("regexp_replace(stem, '^[0-9a-fA-F]{32}_', '')")} as title, file_name as filename,
@@ -367,8 +377,9 @@ ORACLES: dict[str, str] = {
         case when r = 1 then 'keep' else 'delete' end as decision from ordered where n > 1""",
     "duplicate_delete_plan": f"""with {DUPLICATES} select stem as document_id,
         unnest([key, concat('markdown/', stem, '.md'), concat('json/', stem, '.json')]) as object_key from doomed""",
-    "purge_duplicates": f"""with {DUPLICATES} select f.stem as document_id, f.text as content_text from files f
-        where f.stem not in (select stem from doomed)""",
+    "purge_duplicates": f"""with {DUPLICATES} select * from (
+          select {_stem("file_name")} as document_id, text as content_text from ({_view(views.LIBRARY_TEXTS)}) t) x
+        where document_id not in (select stem from doomed)""",
     "pending_files": f"""with {LIBRARY}, {STORED} select key, {_clean("file_name")} as clean_name, size_bytes from files
         where {SUPPORTED} and {_clean("file_name")} not in (select name from stored)""",
     "pending_outputs": f"""with {LIBRARY},
@@ -406,8 +417,20 @@ ORACLES: dict[str, str] = {
                        then round((orig_size - comp_size) * 100.0::double / orig_size, 1) end as saved_percent from results""",
     "run_summary": f"""with {LIBRARY}, results as ({_view(views.RUN_RESULTS)})
         select cast(count_if(status = 'success') as bigint) as processed, cast(count_if(status = 'error') as bigint) as errors,
-          cast(sum(case when status = 'success' then docs_created else 0 end) as bigint) as total_fragments from results""",
-    "assemble_pages": f"with {PAGE_DOCS} select document_id, cast(0 as integer) as volume, file_name, markdown from page_docs",
+          cast(sum(case when status = 'success' then docs_created else 0 end) as bigint) as total_fragments,
+          round(sum(seconds), 3) as total_seconds from results""",
+    "ingest_errors": f"""with {LIBRARY}, loose as ({_view(views.LOOSE_PAGES)})
+        select file_name as filename, 'error' as status, concat('Formato no soportado: ', {_suffix("file_name")}) as error
+        from files where not {SUPPORTED}
+        union all
+        select coalesce(document_id, ''), 'error',
+          case when document_id is null then 'Página sin documento' else 'Página sin número' end
+        from loose where document_id is null or page_no is null""",
+    "rejected_requests": f"""with odd as ({_view(views.ODD_REQUESTS)})
+        select request_id, 'limit' as field, cast(request_limit as bigint) as value from odd where request_limit not between 1 and 100
+        union all select request_id, 'page', page from odd where page < 1
+        union all select request_id, 'page_size', page_size from odd where page_size not between 1 and 20""",
+    "assemble_pages": f"with {PAGE_DOCS} select document_id, file_name, markdown from page_docs",
     "vector_heavy": f"""with {PAGE_DOCS}
         select document_id, count_if(page_no <= 10 and drawings > 150) > 0 as is_vector_heavy from page_texts group by document_id""",
     "select_extraction": f"""with {PAGE_DOCS},
@@ -432,6 +455,9 @@ ORACLES: dict[str, str] = {
         from sections""",
     "fragments_of_markdown": _from_fragments("select * from fragments", ALL_DOCS),
     "fragments_of_pages": _from_fragments("select * from fragments"),
+    "fragments_json_roundtrip": _from_fragments("select * from fragments"),
+    "fragment_table_roundtrip": _from_fragments("select * from fragments"),
+    "fragments_of_loose_pages": _from_fragments("select id, section, content_text from fragments", LOOSE_DOCS),
     "slim_index": _from_fragments("select * exclude (content_markdown) from fragments"),
     "search_haystacks": _from_fragments(
         """select id, md5(haystack) as haystack_md5, unnest(list_distinct(list_filter(string_split_regex(haystack, '\\s+'), lambda w: w <> ''))) as token
@@ -501,6 +527,10 @@ ORACLES: dict[str, str] = {
               else {_escape_html("snippet")} end as highlighted from shown""",
         extra=HIGHLIGHT,
     ),
+    "highlight_fragments": _from_fragments(
+        f"""select id, regexp_replace({_escape_html("content_text")}, '(?i)(of{MARK_SPACE}the|the|of)', '<mark>\\1</mark>', 'g')
+            as highlighted from fragments"""
+    ),
     "snippets": _from_fragments(
         f"""select id, concat(left(content_text, 300), '...') as snippet,
           concat({_strip("left(content_text, 140)")}, case when length(content_text) > 140 then '...' else '' end) as preview

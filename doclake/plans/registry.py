@@ -16,6 +16,7 @@ from doclake.operators import dedup, fragments, ingest, pages, present, quality,
 from doclake.plans.views import Views
 from doclake.session import new_shared_path, stored
 from doclake.sources import client_errors as errors
+from doclake.sources import fragments as fragment_store
 from doclake.sources import index as index_store
 from doclake.sources import markdown as markdown_store
 from doclake.streaming import ingest as streaming
@@ -33,7 +34,7 @@ def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 
 
 def _page_docs(v: Views) -> DataFrame:
-    return pages.assemble_pages(v.page_texts()).select("document_id", "file_name", "markdown")
+    return pages.assemble_pages(v.page_texts())
 
 
 def _all_docs(v: Views) -> DataFrame:
@@ -59,11 +60,11 @@ def _stored_index(v: Views) -> DataFrame:
 
 
 def _library(v: Views) -> DataFrame:
-    return v.library_files().drop("text")
+    return v.library_files()
 
 
 def _library_texts(v: Views) -> DataFrame:
-    return v.library_files().select(
+    return v.library_texts().select(
         names.stem(F.col("file_name")).alias("document_id"), F.col("text").alias("content_text")
     )
 
@@ -122,17 +123,17 @@ def catalog_status_tags(v: Views) -> DataFrame:
 
 @query
 def category_counts(v: Views) -> DataFrame:
-    return cat.category_counts(_catalog(v))
+    return cat.category_counts(cat.listing(_library(v)))
 
 
 @query
 def category_filter(v: Views) -> DataFrame:
-    return cat.filter_category(_catalog(v), fv.CATEGORY_MAYOR, " Acta ").select("id", "title", "filename")
+    return cat.filter_category(cat.listing(_library(v)), fv.CATEGORY_MAYOR, " Acta ").select("id", "title", "filename")
 
 
 @query
 def title_search(v: Views) -> DataFrame:
-    return cat.search_titles(_catalog(v), "RES 1").select("id", "title", "filename")
+    return cat.search_titles(cat.listing(_library(v)), "RES 1").select("id", "title", "filename")
 
 
 @query
@@ -198,6 +199,12 @@ def rejected_files(v: Views) -> DataFrame:
     return ingest.rejected_files(_library(v))
 
 
+@query
+def ingest_errors(v: Views) -> DataFrame:
+    """What an ingest run could not take in: unsupported files and pages without a place."""
+    return ingest.rejected_files(_library(v)).unionByName(pages.page_errors(v.loose_pages()))
+
+
 @query
 def ingest_plan(v: Views) -> DataFrame:
     library = _library(v)
@@ -233,7 +240,7 @@ def copy_savings(v: Views) -> DataFrame:
 
 @query
 def run_summary(v: Views) -> DataFrame:
-    return ingest.run_summary(v.run_results()).drop("total_seconds")
+    return ingest.run_summary(v.run_results())
 
 
 # --- pages and text -------------------------------------------------------
@@ -279,6 +286,26 @@ def fragments_of_markdown(v: Views) -> DataFrame:
     return fragments.fragments_from_markdown(_all_docs(v))
 
 
+@query
+def fragments_json_roundtrip(v: Views) -> DataFrame:
+    path = new_shared_path(v.spark, "json")
+    fragment_store.write_fragments_json(_page_fragments(v), path)
+    return fragment_store.read_fragment_lines(v.spark, path)[0]
+
+
+@query
+def fragment_table_roundtrip(v: Views) -> DataFrame:
+    path = new_shared_path(v.spark, "table")
+    fragment_store.write_fragments(_page_fragments(v), path)
+    return fragment_store.read_fragment_table(v.spark, path)
+
+
+@query
+def fragments_of_loose_pages(v: Views) -> DataFrame:
+    """Fragments of the pages that have a place; ``ingest_errors`` lists the others."""
+    return fragments.fragments_from_pages(v.loose_pages()).select("id", "section", "content_text")
+
+
 @query
 def fragments_of_pages(v: Views) -> DataFrame:
     return _page_fragments(v)
@@ -359,6 +386,15 @@ def search_global_postings(v: Views) -> DataFrame:
     return search.search_stored(index, v.search_requests(), posted, vocab)
 
 
+@query
+def rejected_requests(v: Views) -> DataFrame:
+    asked = v.odd_requests()
+    limits = search.rejected_requests(
+        asked.select(F.col("request_id").alias("query_id"), "query", F.col("request_limit").alias("limit"))
+    ).withColumnRenamed("query_id", "request_id")
+    return limits.unionByName(viewer.rejected_view_requests(asked))
+
+
 @query
 def search_single(v: Views) -> DataFrame:
     return _no_markdown(search.search_one(_index(v), "Of  the", 100))
@@ -402,7 +438,7 @@ def fragment_page_of(v: Views) -> DataFrame:
 
 @query
 def hits_with_metadata(v: Views) -> DataFrame:
-    return present.with_metadata(_hits(v), _catalog(v)).select(
+    return present.with_metadata(_hits(v), cat.listing(_library(v))).select(
         "query_id", "rank", "id", "display_title", "display_file"
     )
 
@@ -414,6 +450,13 @@ def highlight_hits(v: Views) -> DataFrame:
     return marked.select("query_id", "rank", "id", "highlighted")
 
 
+@query
+def highlight_fragments(v: Views) -> DataFrame:
+    """Whole fragments with the terms of one search marked."""
+    marked = present.highlight(F.col("content_text"), present.mark_pattern(F.lit("of the")))
+    return _page_fragments(v).select("id", marked.alias("highlighted"))
+
+
 @query
 def snippets(v: Views) -> DataFrame:
     return present.with_snippets(_page_fragments(v)).select("id", "snippet", "preview")

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.sources.files import read_table
-
 SPARK = {"div": "div", "str": "string"}
 DUCKDB = {"div": "//", "str": "varchar"}
 
@@ -24,6 +22,12 @@ select concat(case cast(doc_id {div} 10 as int) % 5 when 0 then 'ORD_' when 1 th
             else text end as page_text,
        cast((doc_id * 37) % 160 as int) as drawings
 from documents
+union all
+-- One document with three pages for every row: thousands of pages.
+select 'CIRCULAR-999999' as document_id, cast(doc_id * 3 + k + 1 as int) as page_no,
+       concat(source, ' ', lang, ' ', cast(n_chars as {str}), case when k = 1 then concat(chr(10), chr(10), '# Anexo ', source) else '' end) as page_text,
+       0 as drawings
+from documents cross join (values (0), (1), (2)) t(k)
 """
 
 # One document per row, with headers of all levels and every kind of markup.
@@ -41,8 +45,8 @@ from documents) d
 
 # Files named in several ways; pairs of rows share a name up to spelling.
 LIBRARY_FILES = """
-select concat('uploads/', name) as key, name as file_name, n_chars * 1000 as size_bytes, text from (
-  select n_chars, text, concat(
+select concat('uploads/', name) as key, name as file_name, n_chars * 1000 as size_bytes from (
+  select n_chars, concat(
     case when doc_id % 11 = 0 then concat(md5(cast(doc_id as {str})), '_') else '' end,
     case when doc_id % 2 = 0 then concat('Res-', cast(doc_id {div} 2 as {str}), '.pdf')
          when doc_id % 8 = 1 then concat('res_', cast(doc_id {div} 2 as {str}), '.PDF')
@@ -53,8 +57,40 @@ select concat('uploads/', name) as key, name as file_name, n_chars * 1000 as siz
   from documents) x
 union all
 select concat('uploads/', document_id, '.pdf') as key, concat(document_id, '.pdf') as file_name,
-       cast(page_no * 700000 as bigint) as size_bytes, page_text as text
-from (""" + PAGE_TEXTS + """) p where page_no = 10
+       cast(count(*) * 700000 as bigint) as size_bytes
+from (""" + PAGE_TEXTS + """) p group by document_id
+"""
+
+# The texts of these files; all pages of a document are its text.
+LIBRARY_TEXTS = """
+select file_name, text from (
+  select text, concat(
+    case when doc_id % 11 = 0 then concat(md5(cast(doc_id as {str})), '_') else '' end,
+    case when doc_id % 2 = 0 then concat('Res-', cast(doc_id {div} 2 as {str}), '.pdf')
+         when doc_id % 8 = 1 then concat('res_', cast(doc_id {div} 2 as {str}), '.PDF')
+         when doc_id % 8 = 3 then concat('Res-', cast(doc_id {div} 2 as {str}), '.pdf.pdf')
+         when doc_id % 8 = 5 then concat('RES ', cast(doc_id {div} 2 as {str}), '.docx')
+         when doc_id % 16 = 7 then concat('notas ', cast(doc_id as {str}), '.txt')
+         else concat('Acta Nº ', cast(doc_id as {str}), ' Resolución.pdf') end) as file_name
+  from documents) x
+union all
+select concat(document_id, '.pdf') as file_name, page_text as text from (""" + PAGE_TEXTS + """) p
+"""
+
+# Pages as they may come in: some without a number, some without a document.
+LOOSE_PAGES = """
+select case when n % 17 = 0 then cast(null as {str}) else document_id end as document_id,
+       case when n % 13 = 0 then cast(null as int) else page_no end as page_no, page_text, drawings
+from (select *, cast(length(page_text) as int) as n from (""" + PAGE_TEXTS + """) p) q
+"""
+
+# Requests with legal and illegal limits, pages and page sizes.
+ODD_REQUESTS = """
+select conv_id * 1000 + turn as request_id, text as query,
+       case cast(turn % 5 as int) when 0 then 0 when 1 then 101 when 2 then 500 when 3 then cast(null as int) else 10 end as request_limit,
+       case cast(conv_id % 3 as int) when 0 then 0 when 1 then cast(null as int) else 4 end as page,
+       case cast((conv_id + turn) % 4 as int) when 0 then 0 when 1 then 21 when 2 then 20 else cast(null as int) end as page_size
+from conversations
 """
 
 # Texts with rulings and scraps mixed in; several rows make one document.
@@ -142,7 +178,7 @@ class Views:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, text: str, **named: DataFrame) -> DataFrame:
         text = text.format(**SPARK)
@@ -163,6 +199,15 @@ class Views:
     def library_files(self) -> DataFrame:
         return self._sql(LIBRARY_FILES)
 
+    def library_texts(self) -> DataFrame:
+        return self._sql(LIBRARY_TEXTS)
+
+    def loose_pages(self) -> DataFrame:
+        return self._sql(LOOSE_PAGES)
+
+    def odd_requests(self) -> DataFrame:
+        return self._sql(ODD_REQUESTS)
+
     def noisy_texts(self) -> DataFrame:
         return self._sql(NOISY_TEXTS)
 

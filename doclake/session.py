@@ -15,6 +15,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 _own_dirs: dict[str, str] = {}
+_stored_paths: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     lost with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    local = context.master.startswith("local")
+    if not local and (not named or named.startswith("file:")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if named:
+        return named
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="doclake-")
     return _own_dirs[context.applicationId]
@@ -47,10 +49,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executors, and the size of the table is known to later plans.
     """
     path = new_shared_path(df.sparkSession, name)
+    _stored_paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application has stored so far.
+
+    To be called when the results built on them are written; tables that were
+    stored earlier cannot be read afterwards.
+    """
+    context = spark.sparkContext
+    for path in _stored_paths.pop(context.applicationId, []):
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 

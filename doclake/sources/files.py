@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from doclake.functions import names
 
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
-
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(key, file_name, stem, suffix, size_bytes)`` of all files below a folder.
@@ -34,22 +32,3 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def list_library(spark: SparkSession, path: str) -> DataFrame:
     """The listing restricted to supported document formats."""
     return list_files(spark, path).where(names.is_supported(F.col("file_name")))
-
-
-def total_bytes(spark: SparkSession, path: str) -> int:
-    """Size of the files at a path, from the listing alone."""
-    sizes = spark.read.format("binaryFile").load(path).select("length")
-    return sizes.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table whose rows are spread over the cores even if it is tiny.
-
-    A small file is often a single row group, which is a single task.  Below
-    ``SMALL_TABLE_BYTES`` the rows are dealt out; anything larger has row
-    groups enough and is left alone.
-    """
-    df = spark.read.parquet(path)
-    if total_bytes(spark, path) >= SMALL_TABLE_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)

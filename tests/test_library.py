@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,14 +40,33 @@ def test_pages_cut_one_by_one_equal_the_assembled_document(spark):
     assert left == right and len(left) > 200
 
 
-def test_volumes_hold_every_page_once(spark):
-    table = page_rows(spark)
-    one = {r["document_id"]: r["markdown"] for r in pages.assemble_pages(table).collect()}
-    parts = pages.assemble_pages(table, volume_pages=7).orderBy("document_id", "volume").collect()
-    glued = {}
-    for r in parts:
-        glued[r["document_id"]] = glued.get(r["document_id"], "") + r["markdown"]
-    assert glued == one and len(parts) > len(one)
+def test_long_document_has_one_body_and_unique_ids(spark):
+    rows = [("long", n, f"text of page {n}", 0) for n in range(1, 3001)]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, schemas.PAGE_TEXT)
+    bodies = pages.assemble_pages(table).collect()
+    assert len(bodies) == 1
+    assert [int(n) for n in re.findall(r"## Página (\d+)", bodies[0]["markdown"])] == list(range(1, 3001))
+    ids = [r["id"] for r in fragments.fragments_from_pages(table).select("id").collect()]
+    assert len(ids) == len(set(ids)) == 3000
+
+
+def test_pages_without_a_place_become_error_rows(spark):
+    rows = [("d", 1, "a", 0), ("d", None, "b", 0), (None, 1, "c", 0), (None, None, "d", 0)]
+    table = spark.createDataFrame(rows, schemas.PAGE_TEXT)
+    errors = {tuple(r) for r in pages.page_errors(table).collect()}
+    assert errors == {("d", "error", "Página sin número"), ("", "error", "Página sin documento")}
+    assert pages.page_errors(table).count() == 3
+    assert [r["id"] for r in fragments.fragments_from_pages(table).collect()] == ["d-fragment-2"]
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    from doclake.operators import ingest
+
+    current = spark.createDataFrame([("a", 1), ("b", 1)], "id string, n int")
+    incoming = spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "id string, n int")
+    assert sorted(map(tuple, ingest.upsert(current, incoming).collect())) == [("a", 1), ("b", 3), ("c", 1)]
 
 
 def test_assembled_page_text(spark):
@@ -273,7 +293,8 @@ def test_only_name_cleaning_leaves_the_jvm(spark):
     table = page_rows(spark, hot_pages=3)
     plan = fragments.search_index(fragments.fragments_from_pages(table))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert plan.count("REPARTITION_BY_COL") >= 1
+    # The pages were cut before, once: neither their texts nor a cut of them is in the plan.
+    assert "page_text" not in plan and "REPARTITION_BY_COL" not in plan
 
 
 def test_broadcast_measures_nested_columns(spark):

@@ -81,7 +81,23 @@ def test_fragment_table_and_json_lines(spark, folder, tmp_path):
     fragment_store.write_fragments(wanted, f"{tmp_path}/t")
     assert rows(fragment_store.read_fragment_table(spark, f"{tmp_path}/t")) == rows(wanted)
     fragment_store.write_fragments_json(wanted, f"{tmp_path}/j")
-    assert rows(spark.read.schema(schemas.FRAGMENT).json(f"{tmp_path}/j")) == rows(wanted)
+    for good, bad in (
+        fragment_store.read_fragments(spark, f"{tmp_path}/j"),
+        fragment_store.read_fragment_lines(spark, f"{tmp_path}/j"),
+    ):
+        assert rows(good) == rows(wanted)
+        assert good.count() == wanted.count() and bad.count() == 0
+
+
+def test_no_record_of_a_json_file_is_lost(spark, tmp_path):
+    record = '{"id": "%s", "document_id": "d"}'
+    (tmp_path / "lines.json").write_text("\n".join([record % "a", record % "b", "{broken", record % "c"]))
+    (tmp_path / "pretty.json").write_text("[\n" + ",\n".join([record % "e", record % "f"]) + "\n]\n")
+    (tmp_path / "cut.json").write_text("[" + record % "g" + ", ")
+    good, bad = fragment_store.read_fragments(spark, str(tmp_path))
+    assert sorted(r["id"] for r in good.collect()) == ["a", "b", "c", "e", "f"]
+    assert good.count() == 5 and bad.count() == 2
+    assert sorted(r["file_path"].rsplit("/", 1)[1] for r in bad.collect()) == ["cut.json", "lines.json"]
 
 
 def test_index_forms_and_refresh(spark, folder, tmp_path):
