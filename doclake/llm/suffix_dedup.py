@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from doclake.llm.common import slices_by_bytes
 from doclake.llm.shingles import mix
 from doclake.llm.suffix_sort import suffix_array
-from doclake.session import lookup_join, stored
+from doclake.session import lookup_join
 
 WINDOW = 50
 GRAM = 16
@@ -43,6 +43,7 @@ BLOCK_BYTES = 2 * 1024 * 1024
 SHARD_BYTES = 8 * 1024 * 1024
 
 _LAST = np.iinfo(np.int64).max
+_NO_ANSWER = np.iinfo(np.uint32).max
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -102,6 +103,11 @@ def _key(gram: np.ndarray, shards: int) -> np.ndarray:
     return ((gram % np.uint64(shards)) << np.uint64(32)) | (gram >> np.uint64(32))
 
 
+def _mark(keys: np.ndarray) -> np.ndarray:
+    """32 bits of a key, enough to find it among those of one document."""
+    return mix(keys).astype(np.uint32)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Parts of the rows of a task with numbers that no other task uses."""
     number = TaskContext.get().partitionId() << 32
@@ -119,6 +125,12 @@ def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[begin]), np.arange(begin, end)
 
 
+def _dealt(sent: DataFrame) -> DataFrame:
+    """Rows by shard; what a block keeps to itself (shards below zero) travels with its block."""
+    own = -1 - F.pmod(F.xxhash64("block"), F.lit(1 << 20)).cast("int")
+    return sent.withColumn("to", F.when(F.col("shard") >= 0, F.col("shard")).otherwise(own))
+
+
 def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
@@ -133,8 +145,9 @@ def _gather(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[tuple]:
 
 def shared_grams(rows: DataFrame, shards: int) -> DataFrame:
     """``(doc_id, version, keys)``: grams of a document that occur in another one as well."""
-    fields = [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("again", pa.binary())]
-    schema = "shard int, block long, keys binary, docs binary, again binary"
+    fields = [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
+    schema = "shard int, block long, keys binary, docs binary"
+    names = [n for n, _ in fields]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in _blocks(batches):
@@ -151,36 +164,39 @@ def shared_grams(rows: DataFrame, shards: int) -> DataFrame:
             several = np.diff(np.append(first, len(keys))) > 1
             known = np.repeat(several, np.diff(np.append(first, len(keys))))
             # Shard -1 is the answer for what the block already knows, -2 names its documents.
-            out = [(-2, block, part.column("doc_id").to_numpy().tobytes(), part.column("version").to_numpy().tobytes(), b"")]
-            out.append((-1, block, keys[known].tobytes(), owner[known].astype("<u4").tobytes(), b""))
-            keys, owner = keys[first], owner[first]
+            out = [(-2, block, part.column("doc_id").to_numpy().tobytes(), part.column("version").to_numpy().tobytes())]
+            out.append((-1, block, _mark(keys[known]).tobytes(), owner[known].astype("<u4").tobytes()))
+            # A gram that several documents of the block hold needs no answer, and names none.
+            keys, owner = keys[first], np.where(several, _NO_ANSWER, owner[first])
             for shard, at in _split(keys):
                 low = (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                out.append((shard, block, low.tobytes(), owner[at].astype("<u4").tobytes(), several[at].astype("u1").tobytes()))
+                out.append((shard, block, low.tobytes(), owner[at].astype("<u4").tobytes()))
             yield _batch(out, fields)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, ["shard", "block", "keys", "docs", "again"])
+        got = _gather(batches, names)
+        out = [row for row in got if row[0] < 0]
+        got = [row for row in got if row[0] >= 0]
         counts = [len(r[2]) // 4 for r in got]
         low = np.frombuffer(b"".join(r[2] for r in got), "<u4")
-        again = np.frombuffer(b"".join(r[4] for r in got), "u1")
+        owner = np.frombuffer(b"".join(r[3] for r in got), "<u4")
         values, number, times = np.unique(low, return_inverse=True, return_counts=True)
         shared = times > 1
-        shared[number[again > 0]] = True
-        keep = shared[number] & (again == 0)
-        out, begin = [], 0
-        for (shard, block, keys, docs, _), count in zip(got, counts):
+        shared[number[owner == _NO_ANSWER]] = True
+        keep = shared[number] & (owner != _NO_ANSWER)
+        begin = 0
+        for (shard, block, keys, docs), count in zip(got, counts):
             at = keep[begin : begin + count]
             if at.any():
                 full = np.frombuffer(keys, "<u4")[at].astype("<u8") | np.uint64(shard << 32)
-                out.append((-1, block, full.tobytes(), np.frombuffer(docs, "<u4")[at].tobytes(), b""))
+                out.append((-1, block, _mark(full).tobytes(), np.frombuffer(docs, "<u4")[at].tobytes()))
             begin += count
         yield _batch(out, fields)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches, ["shard", "keys", "docs"])
         ids, versions = next((np.frombuffer(r[1], "<i8"), np.frombuffer(r[2], "<i8")) for r in got if r[0] == -2)
-        keys = np.frombuffer(b"".join(r[1] for r in got if r[0] == -1), "<u8")
+        keys = np.frombuffer(b"".join(r[1] for r in got if r[0] == -1), "<u4")
         docs = np.frombuffer(b"".join(r[2] for r in got if r[0] == -1), "<u4")
         order = np.lexsort((keys, docs))
         keys, docs = keys[order], docs[order]
@@ -188,8 +204,7 @@ def shared_grams(rows: DataFrame, shards: int) -> DataFrame:
         out = [(int(ids[d]), int(versions[d]), keys[b:e].tobytes()) for d, (b, e) in enumerate(zip(bounds[:-1], bounds[1:])) if b < e]
         yield _batch(out, [("doc_id", pa.int64()), ("version", pa.int64()), ("keys", pa.binary())])
 
-    sent = stored(rows.mapInArrow(send, schema), "grams")
-    answers = sent.where("shard < 0").unionByName(sent.where("shard >= 0").groupBy("shard").applyInArrow(answer, schema))
+    answers = _dealt(rows.mapInArrow(send, schema)).groupBy("to").applyInArrow(answer, schema)
     # Rows that repeat id and text have one answer.
     found = answers.groupBy("block").applyInArrow(collect, "doc_id long, version long, keys binary")
     return found.groupBy("doc_id", "version").agg(F.any_value("keys").alias("keys"))
@@ -216,11 +231,11 @@ def repeated(rows: DataFrame, shards: int) -> DataFrame:
             ids = part.column("doc_id").to_numpy()
             owner, gram, first, last = stretches(data, offsets)
             keys = _key(gram, shards)
-            chosen = np.zeros(len(keys), bool)
+            marks, chosen = _mark(keys), np.zeros(len(keys), bool)
             bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
             for doc, wanted in enumerate(part.column("keys").to_pylist()):
                 b, e = bounds[doc], bounds[doc + 1]
-                chosen[b:e] = np.isin(keys[b:e], np.frombuffer(wanted, "<u8"))
+                chosen[b:e] = np.isin(marks[b:e], np.frombuffer(wanted, "<u4"))
             owner, keys, first, last = owner[chosen], keys[chosen], first[chosen], last[chosen]
             texts = _pieces(data, first, last)
             number: dict[tuple[int, bytes], int] = {}
@@ -246,8 +261,9 @@ def repeated(rows: DataFrame, shards: int) -> DataFrame:
             yield _batch(out, fields)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
         got = _gather(batches, names)
+        out = [row for row in got if row[0] < 0]
+        got = [row for row in got if row[0] >= 0]
         merged = _least_ids(got)
         for (_, block, _, _, _, numbers, _), (lengths, values, counts) in zip(got, merged):
             out.append((-3, block, numbers, counts.astype("<u4").tobytes(), values.tobytes(), lengths.astype("<u4").tobytes(), b""))
@@ -256,8 +272,7 @@ def repeated(rows: DataFrame, shards: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_ranges(_gather(batches, names)), [("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
-    sent = stored(sharing.mapInArrow(send, schema), "stretches")
-    answers = sent.where("shard < 0").unionByName(sent.where("shard >= 0").groupBy("shard").applyInArrow(answer, schema))
+    answers = _dealt(sharing.mapInArrow(send, schema)).groupBy("to").applyInArrow(answer, schema)
     found = answers.groupBy("block").applyInArrow(collect, "doc_id long, version long, starts binary, ends binary")
     return found.groupBy("doc_id", "version").agg(F.any_value(F.struct("starts", "ends")).alias("r")).select("doc_id", "version", "r.*")
 
