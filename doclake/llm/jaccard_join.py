@@ -8,15 +8,16 @@ too much in how many elements fall into each part of the hash space (suffixes).
 What is left is verified once per pair on the whole sets.
 
 Groups of copies never become pairs.  Texts with equal sets are one class with
-one representative.  A shingle in more than ``PAIR_GROUP`` prefixes of a bucket
-gives a chain through its classes instead of their pairs; chains and candidate
-pairs only say which classes are compared, and all pairs within a cluster of
-candidates are, so nothing is lost.  A cluster that is too large for a task is
+one representative.  A shingle in more than ``PAIR_GROUP`` prefixes gives a
+forest over the pairs that pass the filters, one in more than ``WIDE_GROUP`` a
+chain through its classes.  Candidates only say which classes are compared, and
+all pairs within a cluster of candidates are, so nothing is lost.  A cluster that is too large for a task is
 cut into cells: blocks of classes of like size, compared block against block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ THRESHOLD = 80  # in hundredths
 
 BATCH_BYTES = 4 * 1024 * 1024
 SKETCH_BITS, SKETCH_PARTS = 20, 64
-SUFFIX_PARTS = 16
-PAIR_GROUP = 8
+SUFFIX_PARTS, PER_PART = 16, 8
+PAIR_GROUP, LOCAL_GROUP, WIDE_GROUP = 8, 512, 4096
+CHAIN, PAIR, WIDE = 0, 1, 2
 POSTINGS_PER_BUCKET = 100_000
 CLUSTER_ROWS = 512
 BIN_ROWS = 1024
@@ -108,10 +110,11 @@ def digests(rows: DataFrame, size: int, threshold: int) -> DataFrame:
                 order = np.lexsort((found, frequency[_slots(found)], owner))
                 rare = found[order]
                 cut = n - -(-threshold * n // 100) + 1
-                parts = np.bincount(
-                    owner * SUFFIX_PARTS + (found % np.uint64(SUFFIX_PARTS)).astype(np.int64), minlength=len(n) * SUFFIX_PARTS
-                )
-                parts = np.minimum(parts, 65535).astype("<u2").reshape(-1, SUFFIX_PARTS)
+                # Parts of the hash space, a power of two that grows with the set.
+                parts = np.maximum(SUFFIX_PARTS, 1 << np.frexp(np.maximum(n, 1) / PER_PART)[1].astype(np.int64))
+                ends = np.cumsum(parts)
+                spread = np.bincount((ends - parts)[owner] + (found.astype(np.int64) & (parts - 1)[owner]), minlength=int(ends[-1]))
+                spread = np.minimum(spread, 255).astype("u1")
                 prefixes = [rare[b : b + c].tobytes() if k else b"" for b, c, k in zip(bounds, cut, n)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -119,7 +122,7 @@ def digests(rows: DataFrame, size: int, threshold: int) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(node, pa.int64()),
                         pa.array(prefixes, pa.binary()),
-                        pa.array([p.tobytes() for p in parts], pa.binary()),
+                        pa.array([spread[e - p : e].tobytes() for e, p in zip(ends, parts)], pa.binary()),
                     ],
                     ["doc_id", "has_id", "version", "n", "node", "prefix", "suffix"],
                 )
@@ -128,12 +131,13 @@ def digests(rows: DataFrame, size: int, threshold: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, threshold: int) -> DataFrame:
-    """Candidate edges ``(x, y, exact)`` between classes whose prefixes meet.
+    """``(kind, x, y, place)``: chains and candidate pairs of classes, members of wide groups.
 
     Postings travel packed by bucket of the shingle.  A shingle that already has
-    more than ``PAIR_GROUP`` classes in one batch is chained there and only its
+    more than ``LOCAL_GROUP`` classes in one batch is chained there and only its
     first class goes on, with the others' number as its weight, so a shingle of
-    a third of all classes sends a few rows per task.
+    a third of all classes sends a few rows per task.  Of a wide group, ``x`` is
+    the shingle and ``y`` the class.
     """
     total = classes.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // POSTINGS_PER_BUCKET))
@@ -152,11 +156,11 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
             shingle, node, n, place = shingle[order], node[order], n[order], place[order]
             first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(shingle)))
-            heavy = np.repeat(size > PAIR_GROUP, size)
+            heavy = np.repeat(size > LOCAL_GROUP, size)
             head = np.zeros(len(shingle), bool)
             head[first] = True
             weight = np.ones(len(shingle), np.int64)
-            weight[first] = np.where(size > PAIR_GROUP, size, 1)
+            weight[first] = np.where(size > LOCAL_GROUP, size, 1)
             chained = np.flatnonzero(heavy & ~head)
             kept = ~heavy | head
             shingle, n, place, weight = shingle[kept], n[kept], place[kept], weight[kept]
@@ -184,72 +188,125 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
                 columns[name] += batch.column(name).to_pylist()
         kinds = ("<u8", "<i8", "<u4", "<u4", "<u4")
         values = [np.frombuffer(b"".join(columns[name]), kind) for name, kind in zip(names, kinds)]
-        x, y, exact = _meet(*values, threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(exact)], ["x", "y", "exact"])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in _meet(*values, threshold)], ["kind", "x", "y", "place"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("shingle", "node"))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.zeros(len(x), bool))], ["x", "y", "exact"])
+            none = np.zeros(len(x), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (none, x, y, none)], ["kind", "x", "y", "place"])
 
-    edge = "x long, y long, exact boolean"
+    edge = "kind int, x long, y long, place int"
     packed = stored(classes.select("node", "n", "prefix").mapInArrow(pack, schema), "postings")
     met = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, edge)
     return met.unionByName(packed.where("bucket < 0").mapInArrow(unpack, edge)).distinct()
 
 
 def _meet(shingle, node, n, place, weight, threshold: int):
-    """Edges of one bucket: filtered pairs of small groups, chains of large ones."""
+    """Rows of one bucket: filtered pairs of small groups, members of wide ones, chains of the largest."""
     # Within a shingle by size, so that partners of like length are neighbours.
     order = np.lexsort((node, n, shingle))
     shingle, node, n, place, weight = (v[order] for v in (shingle, node, n.astype(np.int64), place.astype(np.int64), weight))
     if not len(shingle):
-        return node, node, np.zeros(0, bool)
+        return np.zeros(0, np.int32), node, node, np.zeros(0, np.int32)
     first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
     size = np.diff(np.append(first, len(shingle)))
-    heavy = np.repeat(np.add.reduceat(weight.astype(np.int64), first) > PAIR_GROUP, size)
+    total = np.add.reduceat(weight.astype(np.int64), first)
+    # A group that was chained in part before must be chained on.
+    chain = np.repeat((total > WIDE_GROUP) | (total > size), size)
+    wide = np.repeat(total > PAIR_GROUP, size) & ~chain
     in_group = np.arange(len(shingle)) - np.repeat(first, size)
-    left, right, exact = [], [], []
-    chained = np.flatnonzero(heavy & (in_group > 0))
-    left.append(node[chained])
-    right.append(node[chained - 1])
-    exact.append(np.zeros(len(chained), bool))
+    rows = []
+    # Where neighbours by size differ too much, so do all across them.
+    b = np.flatnonzero(chain & (in_group > 0))
+    b = b[(100 * n[b - 1] >= threshold * n[b]) | (weight[b] > 1) | (weight[b - 1] > 1)]
+    rows.append((CHAIN, node[b - 1], node[b], np.zeros(len(b), np.int64)))
+    b = np.flatnonzero(wide)
+    rows.append((WIDE, shingle[b].view(np.int64), node[b], place[b]))
     for gap in range(1, PAIR_GROUP):
-        b = np.flatnonzero(~heavy & (in_group >= gap))
+        b = np.flatnonzero(~chain & ~wide & (in_group >= gap))
         a = b - gap
-        # Overlap that the threshold asks for, against what can still follow.
-        need = -(-threshold * (n[a] + n[b]) // (100 + threshold))
-        most = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
-        fits = (100 * n[a] >= threshold * n[b]) & (most >= need)
-        left.append(node[a[fits]])
-        right.append(node[b[fits]])
-        exact.append(np.ones(int(fits.sum()), bool))
-    x, y, exact = (np.concatenate(v) for v in (left, right, exact))
-    return np.minimum(x, y), np.maximum(x, y), exact
-
-
-def _suffixes_allow(edges: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Drop candidate pairs whose hashes are spread too differently; chains stay."""
+        fits = _lengths_and_places_allow(n[a], n[b], place[a], place[b], threshold)
+        x, y = node[a[fits]], node[b[fits]]
+        rows.append((PAIR, np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64)))
+    kind = np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows])
+    x, y, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+    return kind, x, y, place.astype(np.int32)
+
+
+def _lengths_and_places_allow(n_a, n_b, place_a, place_b, threshold: int):
+    """Whether sizes are alike, and enough elements are left around the one that both share."""
+    need = -(-threshold * (n_a + n_b) // (100 + threshold))
+    most = np.minimum(place_a, place_b) + np.minimum(n_a - place_a, n_b - place_b)
+    return (100 * np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)) & (most >= need)
+
+
+def _folded(parts: np.ndarray, size: int) -> np.ndarray:
+    """Counts of fewer parts; parts are the low bits of the hash, so halves add up."""
+    while parts.shape[-1] > size:
+        half = parts.shape[-1] // 2
+        # Counts are cut at 255 on either side, so a difference is never too large.
+        parts = np.minimum(parts[..., :half] + parts[..., half:], 255)
+    return parts
+
+
+def _spreads_allow(differ, n_a, n_b, threshold: int):
+    """At least ``differ`` elements are in one of the sets only."""
+    return (100 + threshold) * differ <= (100 - threshold) * (n_a + n_b)
+
+
+def _candidates(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Edges ``(x, y)``: chains, pairs that the suffixes allow, and forests of wide groups."""
     thin = stored(classes.select("node", "n", "suffix"), "suffixes")
     few = fits_broadcast(thin)
     sides = [thin.select(*(F.col(c).alias(f"{c}_{side}") for c in thin.columns)) for side in "xy"]
-    joined = edges.join(broadcast_if(few, sides[0]), F.col("x") == F.col("node_x"))
-    joined = joined.join(broadcast_if(few, sides[1]), F.col("y") == F.col("node_y"))
+    rows = stored(rows, "candidates")
+    pairs = rows.where(F.col("kind") == PAIR).join(broadcast_if(few, sides[0]), F.col("x") == F.col("node_x"))
+    pairs = pairs.join(broadcast_if(few, sides[1]), F.col("y") == F.col("node_y"))
+    wide = rows.where(F.col("kind") == WIDE).join(broadcast_if(few, sides[1]), F.col("y") == F.col("node_y"))
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(f"suffix_{s}").to_pylist()), "<u2").reshape(-1, SUFFIX_PARTS).astype(np.int64)
-                for s in "xy"
-            )
-            # At least so many elements are in one of the sets only.
-            differ = np.abs(a - b).sum(1)
-            both = batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
-            fits = (100 + threshold) * differ <= (100 - threshold) * both
-            kept = fits | ~batch.column("exact").to_numpy(zero_copy_only=False)
-            yield batch.select(["x", "y"]).filter(pa.array(kept))
-
-    return joined.select("x", "y", "exact", "n_x", "n_y", "suffix_x", "suffix_y").mapInArrow(allow, "x long, y long")
+            differ = []
+            for a, b in zip(batch.column("suffix_x").to_pylist(), batch.column("suffix_y").to_pylist()):
+                size = min(len(a), len(b))
+                a, b = (_folded(np.frombuffer(v, "u1").astype(np.int64), size) for v in (a, b))
+                differ.append(int(np.abs(a - b).sum()))
+            kept = _spreads_allow(np.array(differ, np.int64), *(batch.column(c).to_numpy() for c in ("n_x", "n_y")), threshold)
+            yield batch.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        node, n, place = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "n_y", "place"))
+        x, y = _wide_forest(n, place, table.column("suffix_y").to_pylist(), threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["x", "y"])
+
+    edge = "x long, y long"
+    met = pairs.select("x", "y", "n_x", "n_y", "suffix_x", "suffix_y").mapInArrow(allow, edge)
+    forests = wide.select("x", "y", "n_y", "place", "suffix_y").groupBy("x").applyInArrow(compare, edge)
+    return rows.where(F.col("kind") == CHAIN).select("x", "y").unionByName(met).unionByName(forests)
+
+
+def _wide_forest(n: np.ndarray, place: np.ndarray, suffixes: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the members of one wide group that pass all filters, block by block."""
+    parts = np.array([len(s) for s in suffixes])
+    root = np.arange(len(n))
+    for size in np.unique(parts).tolist():
+        # Sizes that are alike have as many parts, or twice as many.
+        left, right = np.flatnonzero(parts == size), np.flatnonzero((parts == size) | (parts == 2 * size))
+        a = np.stack([np.frombuffer(suffixes[k], "u1") for k in left]).astype(np.int16)
+        b = np.stack([_folded(np.frombuffer(suffixes[k], "u1").astype(np.int16), size) for k in right])
+        step = max(1, 4_000_000 // (len(right) * size))
+        for start in range(0, len(left), step):
+            rows = left[start : start + step]
+            differ = np.abs(a[start : start + step, None, :] - b[None, :, :]).sum(2, dtype=np.int64)
+            fits = _spreads_allow(differ, n[rows][:, None], n[right][None, :], threshold)
+            fits &= _lengths_and_places_allow(n[rows][:, None], n[right][None, :], place[rows][:, None], place[right][None, :], threshold)
+            i, j = np.nonzero(fits)
+            ends = np.unique(np.stack((root[rows[i]], root[right[j]])), axis=1)
+            root = roots(len(n), np.concatenate((np.arange(len(n)), ends[0])), np.concatenate((root, ends[1])))
+    hung = np.flatnonzero(root != np.arange(len(n)))
+    return hung, root[hung]
 
 
 def _links(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +343,7 @@ def similar_classes(rows: DataFrame, size: int, threshold: int) -> tuple[DataFra
     keeper = F.min(F.struct((~F.col("has_id")).alias("no_id"), "doc_id", "version"))
     classes = digest.where("n > 0").groupBy("node").agg(keeper.alias("keeper"), F.count("*").alias("rows"), example.alias("e"))
     classes = stored(classes.select("node", "keeper", "rows", "e.*"), "classes")
-    edges = _suffixes_allow(_postings(classes, threshold), classes, threshold)
+    edges = _candidates(_postings(classes, threshold), classes, threshold)
     clusters = stored(components(edges).withColumnRenamed("root", "cluster"), "clusters")
     links = stored(_verified(rows, classes, clusters, size, threshold), "links")
     return digest, classes, components(links)
@@ -337,37 +394,35 @@ def _large_cells(members: DataFrame, threshold: int) -> DataFrame:
     classes that may be linked meets in exactly one cell.
     """
     half = CLUSTER_ROWS // 2
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold))).cast("long")
-    banded = members.withColumn("band", band)
+    # A little wider than the threshold asks for, so rounding moves nothing past the next band.
+    width = math.log(100 / threshold) * (1 + 1e-9)
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long"))
     sizes = banded.groupBy("cluster", "band").agg(F.ceil(F.count("*") / half).cast("long").alias("blocks"))
-    # Rounding at the edge of a band can move a size by one band, so two bands on are compared too.
     wide = sizes
-    for step in (1, 2):
-        for sign in (-1, 1):
-            other = sizes.select("cluster", (F.col("band") + sign * step).alias("band"), F.col("blocks").alias(f"b{sign * step}"))
-            wide = wide.join(other, ["cluster", "band"], "left")
+    for step, name in ((1, "above"), (-1, "below")):
+        other = sizes.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+        wide = wide.join(other, ["cluster", "band"], "left")
     dealt = lookup_join(banded, wide, ["cluster", "band"], "inner")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     row = ["doc_id", "has_id", "version", "node"]
-    place = ["cluster", "band", "block", "blocks", "b1", "b2", "b-1", "b-2"]
+    place = ["cluster", "band", "block", "blocks", "above", "below"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cell, side = [], [], []
-            for n, (cluster, band, block, blocks, up1, up2, down1, down2) in enumerate(
+            for n, (cluster, band, block, blocks, above, below) in enumerate(
                 zip(*(batch.column(c).to_pylist() for c in place))
             ):
                 met = [((band, min(block, k), band, max(block, k)), block > k) for k in range(blocks)]
-                for step, up, down in ((1, up1, down1), (2, up2, down2)):
-                    met += [((band, block, band + step, k), False) for k in range(up or 0)]
-                    met += [((band - step, k, band, block), True) for k in range(down or 0)]
+                met += [((band, block, band + 1, k), False) for k in range(above or 0)]
+                met += [((band - 1, k, band, block), True) for k in range(below or 0)]
                 at += [n] * len(met)
                 cell += [hash((cluster, *where)) for where, _ in met]
                 side += [s for _, s in met]
             columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in row]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cell, pa.int64()), pa.array(side, pa.bool_())], [*row, "cell", "side"])
 
-    return dealt.select(*row, *(F.col(f"`{c}`") for c in place)).mapInArrow(
+    return dealt.select(*row, *place).mapInArrow(
         assign, "doc_id long, has_id boolean, version long, node long, cell long, side boolean"
     )
 
