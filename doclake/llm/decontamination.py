@@ -120,7 +120,7 @@ def matches(
 
     One row per document and question whose templates share a run of ``min_run``
     words, or of the whole question if it is shorter, with ``min_plain`` words
-    (or all) that are no placeholders, and with consistent slots; ``verbatim``
+    (or all) that are more than placeholders, and with consistent slots; ``verbatim``
     says that all slots have the values of the question.  The longest run of the
     pair is given.
 
@@ -196,7 +196,8 @@ def matches(
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[field]))))
 
     meant = F.size(F.array_distinct("slots"))
-    plain = F.col("run.length") - F.size("slots")
+    bare = F.filter(in_run("i"), lambda word: word.rlike(f"^[{NUMBER}{NAME}{UNIT}]+$"))
+    plain = F.col("run.length") - F.size(bare)
     consistent = judged.where((kinds("asked") == meant) & (kinds("found") == meant)).where(
         plain >= F.least(F.lit(min_plain), F.col("item_words"))
     )

@@ -100,13 +100,13 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-# Stands for a space that no word follows; a text that holds this character, or
-# the one that stands for spaces inside the vocabulary, is not cut.
-_LONE = "\0"
+# Stands for a space that no word follows; no text can hold half a surrogate pair.
+_LONE = "\ud800"
 
 
 def _is_cut(text: str) -> bool:
-    return "▁" not in text and _LONE not in text
+    """A text that holds the vocabulary's own sign for a space stays whole."""
+    return "▁" not in text
 
 
 class SentencePieceEncoder(Encoder):
