@@ -546,5 +546,6 @@ ORACLES: dict[str, str] = {
     ),
     "client_errors": CLIENT_ERRORS,
     "stream_ingest": _from_fragments("select * from fragments"),
+    "stream_ingest_pages": _from_fragments("select * from fragments"),
     "stream_client_errors": CLIENT_ERRORS,
 }

@@ -506,6 +506,15 @@ def stream_ingest(v: Views) -> DataFrame:
     return streaming.read_store(v.spark, f"{path}/store")
 
 
+@query
+def stream_ingest_pages(v: Views) -> DataFrame:
+    path = new_shared_path(v.spark, "ingest")
+    v.page_texts().write.parquet(f"{path}/pages")
+    pages_in = streaming.stream_pages_table(v.spark, f"{path}/pages")
+    streaming.stream_ingest_pages(pages_in, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return streaming.read_store(v.spark, f"{path}/store")
+
+
 @query
 def stream_client_errors(v: Views) -> DataFrame:
     path = new_shared_path(v.spark, "errors")

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from doclake import schemas
-from doclake.operators.fragments import fragments_from_markdown
-from doclake.session import lookup_join
+from doclake.operators.fragments import fragments_from_markdown, fragments_from_pages
+from doclake.operators.pages import page_errors
+from doclake.session import lookup_join, path_exists, stored
 from doclake.sources.client_errors import client_errors
 from doclake.sources.markdown import with_identity
 
@@ -50,11 +51,26 @@ def newest_bodies(docs: DataFrame) -> DataFrame:
     return docs.groupBy("document_id").agg(newest).select("document_id", "newest.file_name", "newest.markdown")
 
 
+def _write_batch(store: str, batch_id: int, fragments: DataFrame, documents: DataFrame) -> None:
+    fragments.write.mode("overwrite").parquet(f"{store}/fragments/batch_id={batch_id}")
+    documents.write.mode("overwrite").parquet(f"{store}/ledger/batch_id={batch_id}")
+
+
 def _store_batch(store: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = newest_bodies(batch)
-        fragments_from_markdown(docs).write.mode("overwrite").parquet(f"{store}/fragments/batch_id={batch_id}")
-        docs.select("document_id").write.mode("overwrite").parquet(f"{store}/ledger/batch_id={batch_id}")
+        # Read and reduced once, for fragments and ledger.
+        docs = stored(newest_bodies(batch), "batch")
+        _write_batch(store, batch_id, fragments_from_markdown(docs), docs.select("document_id"))
+
+    return write
+
+
+def _store_pages(store: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pages = stored(batch, "batch")
+        placed = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
+        page_errors(pages).write.mode("overwrite").parquet(f"{store}/errors/batch_id={batch_id}")
+        _write_batch(store, batch_id, fragments_from_pages(placed), placed.select("document_id").distinct())
 
     return write
 
@@ -69,8 +85,30 @@ def stream_ingest(docs: DataFrame, store: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def stream_pages_table(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Rows added to a page table as a stream."""
+    return spark.readStream.schema(schemas.PAGE_TEXT).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def stream_ingest_pages(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Take in pages as they are uploaded; no body is put together.
+
+    All pages of an upload come in one batch, and an upload replaces the
+    document.  Pages without a place go to the store's ``errors``.
+    """
+    return (
+        pages.writeStream.foreachBatch(_store_pages(store))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Current fragments: those of each document's newest batch."""
+    """Current fragments: those of each document's newest batch; none before the first batch."""
+    if not path_exists(spark, f"{store}/ledger"):
+        names = schemas.FRAGMENT.fields
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in names))
     fragments = spark.read.schema(STORED_FRAGMENT).parquet(f"{store}/fragments")
     ledger = spark.read.schema(LEDGER).parquet(f"{store}/ledger")
     newest = ledger.groupBy("document_id").agg(F.max("batch_id").alias("batch_id"))

@@ -100,6 +100,29 @@ def test_no_record_of_a_json_file_is_lost(spark, tmp_path):
     assert sorted(r["file_path"].rsplit("/", 1)[1] for r in bad.collect()) == ["cut.json", "lines.json"]
 
 
+def test_store_without_a_batch_is_empty(spark, tmp_path):
+    from doclake.streaming import ingest as streaming
+
+    empty = streaming.read_store(spark, f"{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == schemas.FRAGMENT.fieldNames()
+
+
+def test_uploaded_pages_replace_their_document(spark, tmp_path):
+    from doclake.streaming import ingest as streaming
+
+    def upload(rows, number):
+        spark.createDataFrame(rows, schemas.PAGE_TEXT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+        stream = streaming.stream_pages_table(spark, f"{tmp_path}/pages")
+        streaming.stream_ingest_pages(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
+        return sorted((r["id"], r["content_text"][-5:]) for r in streaming.read_store(spark, f"{tmp_path}/store").collect())
+
+    first = upload([("a", 1, "one a", 0), ("a", 2, "two a", 0), ("b", 1, "one b", 0), ("b", None, "lost", 0)], 0)
+    assert [i for i, _ in first] == ["a-fragment-2", "a-fragment-3", "b-fragment-2"]
+    second = upload([("a", 1, "new a", 0)], 1)
+    assert second == [("a-fragment-2", "new a"), ("b-fragment-2", "one b")]
+    assert spark.read.parquet(f"{tmp_path}/store/errors").count() == 1
+
+
 def test_index_forms_and_refresh(spark, folder, tmp_path):
     wanted = fragments.fragments_from_markdown(markdown.read_markdown(spark, str(folder)))
     index_store.write_index(wanted, f"{tmp_path}/i")
