@@ -6,6 +6,8 @@ leftmost of equals).  Equal windows have equal grams, so they meet in one shard
 wherever they stand, and shards are sorted on their own.  Neighbouring windows
 mostly share their gram and travel together as one *stretch* of text.
 
+Copies of a whole text lose all of it and take no further part.
+
 1. Blocks of documents send the hashes of their grams to the shards, each hash
    once per block, and hear which of them occur in another document.
 2. Only stretches around such grams are sent, each distinct stretch once per
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 from doclake.llm.common import slices_by_bytes
 from doclake.llm.shingles import mix
 from doclake.llm.suffix_sort import suffix_array
-from doclake.session import lookup_join
+from doclake.session import broadcast_if, fits_broadcast, lookup_join, stored
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 BLOCK_BYTES = 2 * 1024 * 1024
 SHARD_BYTES = 8 * 1024 * 1024
 
@@ -72,11 +75,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return none, none.astype(np.uint64), none, none
     grams = len(data) - GRAM + 1
     padded = np.append(data, np.zeros(8, np.uint8))
-    word = np.empty(len(data), np.uint64)
+    word = np.zeros(len(data), np.uint64)
     for shift in range(8):
         part = np.frombuffer(padded.tobytes(), "<u8", count=(len(padded) - shift) // 8, offset=shift)
         word[shift::8] = part[: len(word[shift::8])]
-    value = mix(word[:grams] + _SALT * mix(word[8 : grams + 8] + _SALT))
+    value = word[:grams]
+    for at in range(8, GRAM, 8):
+        value = mix(value * _SALT + word[at : grams + at])
     # Least hash and its place over a window of grams, by doubling; the left one of equals.
     span, size = WINDOW - GRAM + 1, 1
     least, place = value, np.arange(grams)
@@ -226,6 +231,7 @@ def repeated(rows: DataFrame, shards: int) -> DataFrame:
     sharing = lookup_join(rows, shared_grams(rows, shards), ["doc_id", "version"], "inner")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block, part in _blocks(batches):
             data, offsets = _bytes(part.column("text"))
             ids = part.column("doc_id").to_numpy()
@@ -256,7 +262,7 @@ def repeated(rows: DataFrame, shards: int) -> DataFrame:
                 pieces = [listed[n][1] for n in at.tolist()]
                 sizes = np.array([len(p) for p in pieces], "<u4")
                 out.append(
-                    (shard, block, own[at].tobytes(), sizes.tobytes(), least[at].tobytes(), at.astype("<u4").tobytes(), b"".join(pieces))
+                    (shard, block, own[at].tobytes(), sizes.tobytes(), least[at].tobytes(), at.astype("<u4").tobytes(), pack(b"".join(pieces)))
                 )
             yield _batch(out, fields)
 
@@ -285,8 +291,9 @@ def _least_ids(got: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     number: dict[tuple[int, bytes], int] = {}
     least: list[int] = []
     which: list[list[int]] = []
-    for _, _, keys, sizes, ids, _, text in got:
-        row, at = [], 0
+    unpack = zstandard.ZstdDecompressor().decompress
+    for _, _, keys, sizes, ids, _, packed in got:
+        row, at, text = [], 0, unpack(packed)
         for key, size, doc in zip(np.frombuffer(keys, "<u8").tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(ids, "<i8").tolist()):
             n = number.setdefault((key, text[at : at + size]), len(number))
             at += size
@@ -382,11 +389,37 @@ def _ranges(got: list[tuple]) -> list[tuple]:
     return out
 
 
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """``(doc_id, version, n_bytes)`` of texts that a smaller id has as a whole."""
+    thin = rows.select("doc_id", "version", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").alias("n_bytes"))
+    thin = stored(thin, "texts")
+    firsts = thin.groupBy("version", "other", "n_bytes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = firsts.where("first < last").drop("last")
+    found = lookup_join(thin, firsts, ["version", "other", "n_bytes"], "inner").where("doc_id > first")
+    return found.select("doc_id", "version", "n_bytes").distinct()
+
+
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, version, starts, ends)`` of documents that lose bytes, packed as 32-bit offsets."""
     rows = _rows(docs, id_col, text_col)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return repeated(rows, max(1, -(-int(total) // SHARD_BYTES)))
+    copies = stored(_whole_copies(rows), "copies")
+    gone = copies.select("doc_id", "version")
+    singles = rows.join(broadcast_if(fits_broadcast(gone), gone), ["doc_id", "version"], "left_anti")
+    found = repeated(singles, max(1, -(-int(total) // SHARD_BYTES)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n_bytes").to_numpy().astype("<u4")
+            starts = [b"\0\0\0\0"] * len(sizes)
+            ends = [size.tobytes() for size in sizes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("version"), pa.array(starts, pa.binary()), pa.array(ends, pa.binary())],
+                ["doc_id", "version", "starts", "ends"],
+            )
+
+    long_enough = copies.where(F.col("n_bytes") >= WINDOW)
+    return found.unionByName(long_enough.mapInArrow(whole, "doc_id long, version long, starts binary, ends binary"))
 
 
 def byte_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
