@@ -39,6 +39,7 @@ class Encoder:
     """Cuts texts into pieces and keeps what the library made of each piece."""
 
     _cuts = False
+    cache_pieces = CACHE_PIECES
 
     def __init__(self) -> None:
         self._known: dict[str, bytes] = {"": b""}
@@ -67,7 +68,7 @@ class Encoder:
     def _flush(self, waiting: list[tuple[int, list[str]]], found: list[list[bytes]]) -> None:
         """Encode what is new in one call of the library, then look everything up."""
         new = set().union(*(pieces for _, pieces in waiting)).difference(self._known)
-        if len(self._known) + len(new) > CACHE_PIECES:
+        if len(self._known) + len(new) > self.cache_pieces:
             self._known = {"": b""}
             new = set().union(*(pieces for _, pieces in waiting), ("",))
         listed = list(new)

@@ -50,7 +50,7 @@ INFINITE = float("inf")
 # Arcs are below this in size, so two of them make one number.
 PAIR = 1 << 32
 
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 TABLE_CLASSES, TABLE_CHARS, TABLE_ROWS = 160, 40, 20_000
 NO_ARC = np.iinfo(np.int64).min
 BATCH_BYTES = 4 * 1024 * 1024
@@ -69,6 +69,8 @@ def load(path: str) -> "Transducer":
 
 
 class Transducer(Encoder):
+    cache_pieces = 350_000
+
     def __init__(self, model: bytes) -> None:
         super().__init__()
         from sentencepiece import sentencepiece_model_pb2

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ FEATURES = 1_000
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 BATCH_BYTES = 4 * 1024 * 1024
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _EDGES = ".,;:!?\"'()[]{}#$%&*-_/\\<>=+|~^`"
@@ -85,9 +86,11 @@ def fit(
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags, targets = [], []
+        bags, targets = Bags(), []
         for batch in batches:
-            bags += [_bag(text) for text in batch.column("text").to_pylist()]
+            for start, end in slices_by_bytes(batch.column("text"), BATCH_BYTES):
+                for text in batch.column("text").slice(start, end - start).to_pylist():
+                    bags.add(text)
             targets += batch.column("toxic").to_pylist()
         model = _fit(bags, np.array(targets, float), totals)
         yield pa.RecordBatch.from_arrays(
@@ -102,17 +105,45 @@ def fit(
     return Model(weights.pop("", -12.0), weights)
 
 
-def _bag(text: str) -> list[list[str]]:
-    """Sentences as lists of words; a text without any is one empty sentence."""
-    found = [[w for word in s.split() if (w := word.strip(_EDGES))] for s in _SENTENCE.findall(text.lower())]
-    return [s for s in found if s] or [[]]
+class Bags:
+    """Documents as sentences of numbered words; a text without words is one empty sentence."""
 
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self._documents: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _choose(bags: list[list[list[str]]], targets: np.ndarray, weight: np.ndarray) -> list[str]:
+    def add(self, text: str) -> None:
+        numbers, sizes, known = array("i"), array("i"), self.words
+        for sentence in _SENTENCE.findall(text.lower()):
+            before = len(numbers)
+            for word in sentence.split():
+                if word := word.strip(_EDGES):
+                    numbers.append(known.setdefault(word, len(known)))
+            if len(numbers) > before:
+                sizes.append(len(numbers) - before)
+        self._documents.append((np.array(numbers, np.int32), np.array(sizes or [0], np.int32)))
+
+    def __len__(self) -> int:
+        return len(self._documents)
+
+    def distinct_words(self) -> Iterator[list[int]]:
+        for numbers, _ in self._documents:
+            yield np.unique(numbers).tolist()
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all sentences, the sentence of each word and the document of each sentence."""
+        words = np.concatenate([d[0] for d in self._documents])
+        sizes = np.concatenate([d[1] for d in self._documents])
+        sentence_of = np.repeat(np.arange(len(sizes)), sizes)
+        return words, sentence_of, np.repeat(np.arange(len(self)), [len(d[1]) for d in self._documents])
+
+
+def _choose(bags: Bags, targets: np.ndarray, weight: np.ndarray) -> list[str]:
     """The features that tell the classes apart best, by a chi-squared score of documents."""
     of = {0: Counter(), 1: Counter()}
-    for bag, target in zip(bags, targets):
-        of[int(target)].update({f for word in {w for s in bag for w in s} for f in features(word)})
+    spelled = list(bags.words)
+    for numbers, target in zip(bags.distinct_words(), targets):
+        of[int(target)].update({f for n in numbers for f in features(spelled[n])})
     size = {t: float((weight * (targets == t)).sum()) for t in (0, 1)}
     per_doc = {t: size[t] / max(1, (targets == t).sum()) for t in (0, 1)}
     total = sum(size.values())
@@ -129,7 +160,7 @@ def _choose(bags: list[list[list[str]]], targets: np.ndarray, weight: np.ndarray
     return [name for _, name in sorted(scored, key=lambda x: (-x[0], x[1]))[:FEATURES]]
 
 
-def _fit(bags: list[list[list[str]]], targets: np.ndarray, totals: dict[int, int], steps: int = 300) -> Model:
+def _fit(bags: Bags, targets: np.ndarray, totals: dict[int, int], steps: int = 300) -> Model:
     """Maximum likelihood of the documents' labels under noisy-or, with Adam."""
     if not len(bags) or not totals.get(1):
         return Model(-12.0, {})
@@ -138,18 +169,18 @@ def _fit(bags: list[list[list[str]]], targets: np.ndarray, totals: dict[int, int
     weight /= weight.sum()
     names = _choose(bags, targets, weight * len(bags))
     number = {name: n for n, name in enumerate(names)}
-    of_word: dict[str, list[int]] = {}
-    sentence_of, feature_of, doc_of = [], [], []
-    for doc, bag in enumerate(bags):
-        for sentence in bag:
-            for word in sentence:
-                if word not in of_word:
-                    of_word[word] = [number[f] for f in features(word) if f in number]
-                for f in of_word[word]:
-                    sentence_of.append(len(doc_of))
-                    feature_of.append(f)
-            doc_of.append(doc)
-    sentence_of, feature_of, doc_of = (np.array(x, np.int64) for x in (sentence_of, feature_of, doc_of))
+    of_word = [[number[f] for f in features(word) if f in number] for word in bags.words]
+    counts = np.array([len(found) for found in of_word], np.int64)
+    listed = np.array([f for found in of_word for f in found], np.int64)
+    begins = np.cumsum(counts) - counts
+    words, sentence_of, doc_of = bags.flat()
+    kept = counts[words] > 0
+    words, sentence_of = words[kept], sentence_of[kept]
+    # The features of each word, one after the other.
+    many = counts[words]
+    sentence_of = np.repeat(sentence_of, many)
+    within = np.arange(len(sentence_of)) - np.repeat(np.cumsum(many) - many, many)
+    feature_of = listed[np.repeat(begins[words], many) + within] if len(listed) else np.zeros(0, np.int64)
     params, first, second = np.zeros(len(names) + 1), 0.0, 0.0
     params[-1] = -6.0
     for step in range(1, steps + 1):
