@@ -134,15 +134,17 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
     """``(kind, x, y, place)``: chains and candidate pairs of classes, members of wide groups.
 
     Postings travel packed by bucket of the shingle.  A shingle that already has
-    more than ``LOCAL_GROUP`` classes in one batch is chained there and only its
-    first class goes on, with the others' number as its weight, so a shingle of
-    a third of all classes sends a few rows per task.  Of a wide group, ``x`` is
-    the shingle and ``y`` the class.
+    more than ``LOCAL_GROUP`` classes in one batch is chained there, by size and
+    with a break where sizes differ too much.  Of each piece only the first class
+    goes on, with the number of its classes as weight and the largest size as
+    top, so a shingle of a third of all classes sends a few rows per task.  Of a
+    wide group, ``x`` is the shingle and ``y`` the class.
     """
     total = classes.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // POSTINGS_PER_BUCKET))
-    schema = "bucket int, shingle binary, node binary, n binary, place binary, weight binary"
-    names = ["shingle", "node", "n", "place", "weight"]
+    schema = "bucket int, shingle binary, node binary, n binary, place binary, weight binary, top binary"
+    names = ["shingle", "node", "n", "place", "weight", "top"]
+    kinds = ("<u8", "<i8", "<u4", "<u4", "<u4", "<u4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,20 +154,19 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), lengths)
             n = np.repeat(batch.column("n").to_numpy(), lengths)
             place = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            order = np.argsort(shingle, kind="stable")
+            order = np.lexsort((n, shingle))
             shingle, node, n, place = shingle[order], node[order], n[order], place[order]
             first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
             size = np.diff(np.append(first, len(shingle)))
-            heavy = np.repeat(size > LOCAL_GROUP, size)
-            head = np.zeros(len(shingle), bool)
-            head[first] = True
-            weight = np.ones(len(shingle), np.int64)
-            weight[first] = np.where(size > LOCAL_GROUP, size, 1)
-            chained = np.flatnonzero(heavy & ~head)
-            kept = ~heavy | head
-            shingle, n, place, weight = shingle[kept], n[kept], place[kept], weight[kept]
+            kept = ~np.repeat(size > LOCAL_GROUP, size)
+            kept[first] = True
+            kept[1:] |= 100 * n[:-1] < threshold * n[1:]
+            chained = np.flatnonzero(~kept)
             chain = (node[chained], node[chained - 1])
-            node = node[kept]
+            heads = np.flatnonzero(kept)
+            weight = np.diff(np.append(heads, len(shingle)))
+            top = n[heads + weight - 1]
+            shingle, node, n, place = shingle[heads], node[heads], n[heads], place[heads]
             bucket = (shingle % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             numbers, begin = np.unique(bucket[order], return_index=True)
@@ -173,11 +174,11 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
             out = [[int(b) for b in numbers], *([] for _ in names)]
             for b, e in zip(begin, ends):
                 at = order[b:e]
-                for column, values, kind in zip(out[1:], (shingle, node, n, place, weight), ("<u8", "<i8", "<u4", "<u4", "<u4")):
+                for column, values, kind in zip(out[1:], (shingle, node, n, place, weight, top), kinds):
                     column.append(values[at].astype(kind).tobytes())
             if len(chained):
                 # Bucket -1 holds finished chains.
-                for column, values in zip(out, (-1, chain[0].tobytes(), chain[1].tobytes(), b"", b"", b"")):
+                for column, values in zip(out, (-1, chain[0].tobytes(), chain[1].tobytes(), b"", b"", b"", b"")):
                     column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", *names])
 
@@ -186,7 +187,6 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for name in names:
                 columns[name] += batch.column(name).to_pylist()
-        kinds = ("<u8", "<i8", "<u4", "<u4", "<u4")
         values = [np.frombuffer(b"".join(columns[name]), kind) for name, kind in zip(names, kinds)]
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in _meet(*values, threshold)], ["kind", "x", "y", "place"])
 
@@ -202,11 +202,12 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
     return met.unionByName(packed.where("bucket < 0").mapInArrow(unpack, edge)).distinct()
 
 
-def _meet(shingle, node, n, place, weight, threshold: int):
+def _meet(shingle, node, n, place, weight, top, threshold: int):
     """Rows of one bucket: filtered pairs of small groups, members of wide ones, chains of the largest."""
     # Within a shingle by size, so that partners of like length are neighbours.
     order = np.lexsort((node, n, shingle))
-    shingle, node, n, place, weight = (v[order] for v in (shingle, node, n.astype(np.int64), place.astype(np.int64), weight))
+    n, place, top = (v.astype(np.int64) for v in (n, place, top))
+    shingle, node, n, place, weight, top = (v[order] for v in (shingle, node, n, place, weight, top))
     if not len(shingle):
         return np.zeros(0, np.int32), node, node, np.zeros(0, np.int32)
     first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
@@ -217,9 +218,12 @@ def _meet(shingle, node, n, place, weight, threshold: int):
     wide = np.repeat(total > PAIR_GROUP, size) & ~chain
     in_group = np.arange(len(shingle)) - np.repeat(first, size)
     rows = []
-    # Where neighbours by size differ too much, so do all across them.
+    # Where a class is too large for all before it, those behind their heads
+    # included, so are all after it: a break parts no pair that may be linked.
+    group = np.repeat(np.arange(len(size)), size) << 32
+    reach = np.maximum.accumulate(group + top) - group
     b = np.flatnonzero(chain & (in_group > 0))
-    b = b[(100 * n[b - 1] >= threshold * n[b]) | (weight[b] > 1) | (weight[b - 1] > 1)]
+    b = b[100 * reach[b - 1] >= threshold * n[b]]
     rows.append((CHAIN, node[b - 1], node[b], np.zeros(len(b), np.int64)))
     b = np.flatnonzero(wide)
     rows.append((WIDE, shingle[b].view(np.int64), node[b], place[b]))

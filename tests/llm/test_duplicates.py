@@ -113,6 +113,26 @@ def test_large_groups_in_cells_and_chains(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
 
 
+def test_chains_of_hot_shingles_with_sizes_far_apart(spark, monkeypatch):
+    """Every linked pair that shares a hot shingle is joined by the chains, whichever batch it came in."""
+    monkeypatch.setattr(jaccard_join, "LOCAL_GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "WIDE_GROUP", 0)
+    rng = random.Random(2)
+    for part in ([[5, 10, 5, 5], [7], [9]], *([[rng.randint(1, 60) for _ in range(rng.randint(1, 9))] for _ in range(5)] for _ in range(2))):
+        sizes = [n for batch in part for n in batch]
+        rows = [(k, n, np.array([77], "<u8").tobytes()) for k, n in enumerate(sizes)]
+        ends = np.cumsum([len(batch) for batch in part])
+        tables = [spark.createDataFrame(rows[e - len(b) : e], "node long, n long, prefix binary").coalesce(1) for b, e in zip(part, ends)]
+        classes = tables[0]
+        for other in tables[1:]:
+            classes = classes.unionByName(other)
+        found = [r for r in jaccard_join._postings(classes, 90).collect() if r["kind"] == jaccard_join.CHAIN]
+        root = components.roots(len(sizes), np.array([r["x"] for r in found], int), np.array([r["y"] for r in found], int))
+        order = sorted(range(len(sizes)), key=lambda k: sizes[k])
+        for a, b in zip(order, order[1:]):
+            assert (root[a] == root[b]) == (100 * sizes[a] >= 90 * sizes[b]), part
+
+
 def test_components_of_random_edges(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(n, n + 1) for n in range(1000, 1100)] + [(5, 5)]
