@@ -7,8 +7,9 @@ benchmark give a window at every place, those of a document one after the other
 without overlap: a shared run of ``2 * WINDOW - 1`` words holds a whole window of
 the document wherever it starts.  Each meeting fixes how question and document
 lie against each other; there the templates are compared word by word, and in
-the longest common run every slot value of the question must stand for one value
-of the document and the other way round.
+a common run every slot value of the question must stand for one value of the
+document and the other way round.  A run whose words are the same on both sides,
+slots included, needs no such check.
 
 Everything is done with DataFrame functions.
 """
@@ -89,21 +90,21 @@ def _meetings(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _longest_run(same: Column) -> Column:
-    """``(start, length)`` of the first longest run of true."""
-    zero = F.struct(F.lit(0).alias("here"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("length"))
+def _runs(same: Column, least: Column, exact: bool) -> Column:
+    """``(start, length, exact)`` of the runs of true of at least ``least`` words."""
+    kind = "array<struct<start:int,length:int,exact:boolean>>"
+    zero = F.struct(F.lit(0).alias("here"), F.lit(0).alias("n"), F.array().cast(kind).alias("runs"))
 
     def step(s: Column, equal: Column) -> Column:
-        here = F.when(equal, s["here"] + 1).otherwise(0)
-        longer = here > s["length"]
+        run = F.struct((s["n"] - s["here"]).alias("start"), s["here"].alias("length"), F.lit(exact).alias("exact"))
+        ended = ~equal & (s["here"] > 0) & (s["here"] >= least)
         return F.struct(
-            here.alias("here"),
+            F.when(equal, s["here"] + 1).otherwise(0).alias("here"),
             (s["n"] + 1).alias("n"),
-            F.when(longer, s["n"] + 1 - here).otherwise(s["start"]).alias("start"),
-            F.when(longer, here).otherwise(s["length"]).alias("length"),
+            F.when(ended, F.concat(s["runs"], F.array(run))).otherwise(s["runs"]).alias("runs"),
         )
 
-    return F.aggregate(same, zero, step)
+    return F.aggregate(F.concat(same, F.array(F.lit(False))), zero, step, lambda s: s["runs"])
 
 
 def matches(
@@ -120,9 +121,9 @@ def matches(
 
     One row per document and question whose templates share a run of ``min_run``
     words, or of the whole question if it is shorter, with ``min_plain`` words
-    (or all) that are more than placeholders, and with consistent slots; ``verbatim``
-    says that all slots have the values of the question.  The longest run of the
-    pair is given.
+    (or all) that are more than placeholders, and with consistent slots, or whose
+    words themselves do, apart from case; ``verbatim`` says that all slots have
+    the values of the question.  The longest run of the pair is given.
 
     Whole texts on both sides, null texts are empty and hold nothing, questions
     without words match nothing.  Rows that repeat id and text give one row; null
@@ -173,7 +174,12 @@ def matches(
         part("d", first + F.col("shift")).alias("d"),
         part("d_raw", first + F.col("shift")).alias("d_raw"),
     )
-    laid = laid.withColumn("run", _longest_run(F.zip_with("i", "d", lambda a, b: a == b)))
+    least = F.least(F.lit(min_run), F.col("item_words"))
+    alike = F.zip_with("i", "d", lambda a, b: a == b)
+    equal = F.zip_with("i_raw", "d_raw", lambda a, b: F.lower(a) == F.lower(b))
+    laid = laid.withColumn("runs", _runs(alike, least, False)).where(F.size("runs") > 0)
+    exact = _runs(F.zip_with(alike, equal, lambda a, b: a & b), least, True)
+    laid = laid.withColumn("run", F.explode_outer(F.concat("runs", exact)))
 
     def in_run(words: str) -> Column:
         return F.slice(F.col(words), F.col("run.start") + 1, F.col("run.length"))
@@ -190,7 +196,7 @@ def matches(
             F.lower(F.get(in_run("d_raw"), x["n"])).alias("found"),
         ),
     )
-    judged = laid.where(F.col("run.length") >= F.least(F.lit(min_run), F.col("item_words"))).withColumn("slots", slots)
+    judged = laid.withColumn("slots", slots)
 
     def kinds(field: str) -> Column:
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[field]))))
@@ -198,9 +204,8 @@ def matches(
     meant = F.size(F.array_distinct("slots"))
     bare = F.filter(in_run("i"), lambda word: word.rlike(f"^[{NUMBER}{NAME}{UNIT}]+$"))
     plain = F.col("run.length") - F.size(bare)
-    consistent = judged.where((kinds("asked") == meant) & (kinds("found") == meant)).where(
-        plain >= F.least(F.lit(min_plain), F.col("item_words"))
-    )
+    enough = plain >= F.least(F.lit(min_plain), F.col("item_words"))
+    consistent = judged.where(F.col("run.exact") | ((kinds("asked") == meant) & (kinds("found") == meant) & enough))
     best = F.max(
         F.struct(
             F.col("run.length").alias("run_words"),

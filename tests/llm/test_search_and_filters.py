@@ -119,6 +119,29 @@ def test_decontamination(spark):
     assert all(r["w"] == brute_template(r["text"]) for r in words)
 
 
+def test_verbatim_runs_are_found(spark):
+    """Few plain words, or slots elsewhere in the run that do not fit, never hide a copy."""
+    head = "when 12 boxes hold red pens and blue pens and green pens"
+    tail = "then 12 of them are sold each day until none of the pens is left"
+    first = "ann has 3 cats and 3 dogs and 3 birds in one small old house"
+    second = "later 5 men come with 5 more of them for a new garden there"
+    items = [(1, "What is 12 times 34 plus 5?"), (2, "71 + 82"), (3, "sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14 please and say why it is so"), (4, f"{head} {tail}")]
+    items += [(5, f"{first} red {second}")]
+    docs = [
+        (10, "Xx. What is 12 times 34 plus 5? yy"), (11, "xx what IS 12 times 34 plus 5"), (12, "What is 12 times 34 plus 6?"),
+        (20, "a 71 82 b"), (21, "a 71 93 b"), (30, "q w 1 2 3 4 5 6 7 8 9 10 11 12 13 e r"), (31, "q w 1 2 3 4 5 6 7 8 9 10 11 13 12 e r"),
+        (40, f"{head.replace('12', '9')} {tail}"),  # 12 stands for two numbers, the tail is a copy
+        (41, f"{head.replace('12', '9').replace('red', 'pink')} {tail.replace('sold', 'lent')}"),
+        (42, f"{head.replace('boxes', 'crates').replace('red', 'pink')} {tail.replace('12', '9')}"),
+        (50, f"{first.replace('3 c', '4 c').replace('3 d', '7 d')} blue {second.replace('5', '6')}"),
+    ]
+    found = decontamination.matches(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    got = {(r["doc_id"], r["item_id"], r["run_words"], r["verbatim"]) for r in found.collect()}
+    assert got == {(10, 1, 7, True), (11, 1, 7, True), (20, 2, 2, True), (30, 3, 13, True), (40, 4, 25, True), (42, 4, 22, False), (50, 5, 14, False)}
+
+
 def test_planted_passages_are_found(spark):
     """A run of 13 words of a question anywhere in a document, whatever lies around it."""
     rng = random.Random(4)
