@@ -12,11 +12,13 @@ one representative.  A shingle in more than ``PAIR_GROUP`` prefixes gives a
 forest over the pairs that pass the filters, one in more than ``WIDE_GROUP`` a
 chain through its classes.  Candidates only say which classes are compared, and
 all pairs within a cluster of candidates are, so nothing is lost.  A cluster that is too large for a task is
-cut into cells: blocks of classes of like size, compared block against block.
+cut into cells: blocks of classes of like size, compared block against block,
+first by the filters alone, which leaves smaller clusters, then by the texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -291,13 +293,22 @@ def _candidates(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return rows.where(F.col("kind") == CHAIN).select("x", "y").unionByName(met).unionByName(forests)
 
 
-def _wide_forest(n: np.ndarray, place: np.ndarray, suffixes: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the members of one wide group that pass all filters, block by block."""
+def _wide_forest(
+    n: np.ndarray, place: np.ndarray, suffixes: list[bytes], threshold: int, side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the members of one wide group that pass all filters, block by block.
+
+    Where there are two sides, only pairs across them are compared.
+    """
     parts = np.array([len(s) for s in suffixes])
     root = np.arange(len(n))
-    for size in np.unique(parts).tolist():
+    every = np.ones(len(n), bool)
+    across = [(every, every)] if side is None or side.all() or not side.any() else [(side, ~side), (~side, side)]
+    for size, (here, there) in itertools.product(np.unique(parts).tolist(), across):
         # Sizes that are alike have as many parts, or twice as many.
-        left, right = np.flatnonzero(parts == size), np.flatnonzero((parts == size) | (parts == 2 * size))
+        left, right = np.flatnonzero((parts == size) & here), np.flatnonzero(((parts == size) | (parts == 2 * size)) & there)
+        if not len(left) or not len(right):
+            continue
         a = np.stack([np.frombuffer(suffixes[k], "u1") for k in left]).astype(np.int16)
         b = np.stack([_folded(np.frombuffer(suffixes[k], "u1").astype(np.int16), size) for k in right])
         step = max(1, 4_000_000 // (len(right) * size))
@@ -349,20 +360,51 @@ def similar_classes(rows: DataFrame, size: int, threshold: int) -> tuple[DataFra
     classes = stored(classes.select("node", "keeper", "rows", "e.*"), "classes")
     edges = _candidates(_postings(classes, threshold), classes, threshold)
     clusters = stored(components(edges).withColumnRenamed("root", "cluster"), "clusters")
+    clusters = _refined(classes, clusters, threshold)
     links = stored(_verified(rows, classes, clusters, size, threshold), "links")
     return digest, classes, components(links)
 
 
+def _refined(classes: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
+    """Clusters of which those too large for one cell are clustered anew by the pairs that pass the filters."""
+    sized = clusters.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") > CLUSTER_ROWS)
+    sized = stored(sized.select("cluster"), "large")
+    if sized.isEmpty():
+        return clusters
+    members = clusters.join(sized, "cluster").join(classes.select("node", "n", "suffix"), "node")
+    cells = stored(_large_cells(stored(members, "members"), threshold, ["node", "n", "suffix"]), "cells")
+    cells = cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-cells.count() // BIN_ROWS)))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        cell, node, n = (table.column(c).to_numpy().astype(np.int64) for c in ("cell", "node", "n"))
+        side, suffix = table.column("side").to_numpy(zero_copy_only=False).astype(bool), table.column("suffix")
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.argsort(cell, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            # From place 0 on, only sizes and spreads count.
+            x, y = _wide_forest(n[at], np.zeros(len(at), np.int64), suffix.take(pa.array(at)).to_pylist(), threshold, side[at])
+            xs.append(node[at[x]])
+            ys.append(node[at[y]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+
+    edges = cells.groupBy("bin").applyInArrow(compare, "x long, y long")
+    parts = components(edges).withColumnRenamed("root", "cluster")
+    return stored(clusters.join(sized, "cluster", "left_anti").select("node", "cluster").unionByName(parts), "clusters")
+
+
 def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links ``(x, y)`` between classes, as a forest of each cell."""
     sized = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     members = stored(clusters.join(sized, "cluster").join(classes, "node"), "members")
-    total = members.count()
-    bins = max(1, -(-total // BIN_ROWS))
     small = members.where(F.col("members") <= CLUSTER_ROWS).select(
         "doc_id", "has_id", "version", "node", F.col("cluster").alias("cell"), F.lit(False).alias("side")
     )
-    cells = small.unionByName(_large_cells(members.where(F.col("members") > CLUSTER_ROWS), threshold))
+    large = _large_cells(members.where(F.col("members") > CLUSTER_ROWS), threshold, ["doc_id", "has_id", "version", "node"])
+    large = stored(large, "cells")
+    # A class of a large cluster is in many cells; its rows count as often.
+    bins = max(1, -(-(small.count() + large.count()) // BIN_ROWS))
+    cells = small.unionByName(large)
     cells = cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)))
     texts = lookup_join(rows, cells, ["doc_id", "has_id", "version"], "inner").select("bin", "cell", "side", "node", "text")
 
@@ -390,8 +432,8 @@ def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
     return texts.groupBy("bin").applyInArrow(verify, "x long, y long")
 
 
-def _large_cells(members: DataFrame, threshold: int) -> DataFrame:
-    """Cells of clusters that are too large for one: blocks of like size against blocks.
+def _large_cells(members: DataFrame, threshold: int, row: list[str]) -> DataFrame:
+    """Cells of clusters that are too large for one: blocks of like size against blocks, with the columns of ``row``.
 
     Sizes fall into bands so that sets in bands that are not neighbours cannot
     reach the threshold; a band is dealt into blocks by hash.  Every pair of
@@ -408,7 +450,6 @@ def _large_cells(members: DataFrame, threshold: int) -> DataFrame:
         wide = wide.join(other, ["cluster", "band"], "left")
     dealt = lookup_join(banded, wide, ["cluster", "band"], "inner")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    row = ["doc_id", "has_id", "version", "node"]
     place = ["cluster", "band", "block", "blocks", "above", "below"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,9 +467,8 @@ def _large_cells(members: DataFrame, threshold: int) -> DataFrame:
             columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in row]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cell, pa.int64()), pa.array(side, pa.bool_())], [*row, "cell", "side"])
 
-    return dealt.select(*row, *place).mapInArrow(
-        assign, "doc_id long, has_id boolean, version long, node long, cell long, side boolean"
-    )
+    kinds = dict(members.dtypes)
+    return dealt.select(*row, *place).mapInArrow(assign, ", ".join(f"{c} {kinds[c]}" for c in row) + ", cell long, side boolean")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,6 +133,35 @@ def test_chains_of_hot_shingles_with_sizes_far_apart(spark, monkeypatch):
             assert (root[a] == root[b]) == (100 * sizes[a] >= 90 * sizes[b]), part
 
 
+def test_large_cluster_is_filtered_before_its_texts_are_read(spark, monkeypatch):
+    """Rows that reach verification, and bins for them, where chains have joined all classes."""
+    monkeypatch.setattr(jaccard_join, "CLUSTER_ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "BIN_ROWS", 16)
+    seen = []
+
+    def chained(rows, classes, threshold):
+        nodes = [r["node"] for r in classes.collect()]
+        return spark.createDataFrame(list(zip(nodes, nodes[1:])), "x long, y long")
+
+    def joined(rows, cells, *rest):
+        if "bin" in cells.columns:
+            seen.append((cells.count(), cells.select("bin").distinct().count()))
+        return lookup(rows, cells, *rest)
+
+    lookup = jaccard_join.lookup_join
+    monkeypatch.setattr(jaccard_join, "_candidates", chained)
+    monkeypatch.setattr(jaccard_join, "lookup_join", joined)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 80))) for _ in range(60)]
+    near = [f"{texts[0]} x{n}" for n in range(12)]
+    rows = list(enumerate(texts + [f"{t} more" for t in texts[:20]] + near))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.groups(docs, 3, 80).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_groups(rows, 3, 80))
+    [(cells, bins)] = seen
+    assert cells < 4 * len(rows) and bins > cells / 64
+
+
 def test_components_of_random_edges(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(n, n + 1) for n in range(1000, 1100)] + [(5, 5)]
