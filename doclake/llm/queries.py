@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.llm import (
+    conversation_repair,
     decontamination,
     jaccard_join,
     line_dedup,
     maxscore,
     piece_transducer,
+    projection_dedup,
     secrets,
     suffix_dedup,
     token_counts,
@@ -196,3 +198,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.byte_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+# All pairs of a label: right at any size, and feasible on small tables only.
+LLM_ORACLES["op12_projection_dedup"] = """
+with recursive rows as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+fit as (
+  select * from rows
+  where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from fit a join fit b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+lowest as (select x, min(y) as y from reach group by x),
+degree as (select x, count(*) as n from links group by x)
+select r.vec_id, coalesce(d.n, 0) as n_links, least(r.vec_id, coalesce(w.y, r.vec_id)) as component_id,
+       r.vec_id = least(r.vec_id, coalesce(w.y, r.vec_id)) as kept
+from rows r left join lowest w on r.vec_id = w.x left join degree d on r.vec_id = d.x
+"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
