@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.llm import (
+    collocations,
     conversation_repair,
     decontamination,
     jaccard_join,
@@ -200,6 +201,53 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.byte_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op11_collocations"] = r"""
+with docs as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from docs),
+worded as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces),
+placed as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from worded),
+ones as (select lang, ws[i] as x, count(*) as n from placed group by all),
+twos as (select lang, ws[i] as x, ws[i + 1] as y, count(*) as n from placed where i + 1 <= len(ws) group by all having count(*) >= 10),
+threes as (
+  select lang, ws[i] as x, ws[i + 1] as y, ws[i + 2] as z, count(*) as n from placed where i + 2 <= len(ws)
+  group by all having count(*) >= 10),
+total as (select lang, sum(n) as n from ones group by lang),
+short as (
+  select t.lang, concat(t.x, ' ', t.y) as phrase, t.n as a, l.n as l, r.n as r,
+         cast(cast(1000000 as hugeint) * t.n * t.n // (cast(l.n as hugeint) * r.n) as bigint) as score
+  from twos t join ones l on t.lang = l.lang and t.x = l.x join ones r on t.lang = r.lang and t.y = r.x
+  where not exists (
+    select 1 from threes h where h.lang = t.lang and 100 * h.n >= 50 * t.n
+      and ((h.x = t.x and h.y = t.y) or (h.y = t.x and h.z = t.y)))),
+cuts as (
+  select t.lang, concat(t.x, ' ', t.y, ' ', t.z) as phrase, t.n as a, 1 as k, l.n as l, r.n as r
+  from threes t join ones l on t.lang = l.lang and t.x = l.x
+  join twos r on t.lang = r.lang and t.y = r.x and t.z = r.y
+  union all
+  select t.lang, concat(t.x, ' ', t.y, ' ', t.z), t.n, 2, l.n, r.n
+  from threes t join twos l on t.lang = l.lang and t.x = l.x and t.y = l.y
+  join ones r on t.lang = r.lang and t.z = r.x),
+graded as (
+  select *, cast(cast(1000000 as hugeint) * a * a // (cast(l as hugeint) * r) as bigint) as score from cuts),
+long as (
+  select lang, phrase, a, l, r, score from graded
+  qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from (select * from short union all select * from long))
+select r.lang, r.rank, r.phrase, r.a, r.l, r.r, cast(t.n as bigint) as n, r.score
+from ranked r join total t on r.lang = t.lang where r.rank <= 2000
+"""
+
+
 @query
 def op12_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_copies(table(spark, sf_dir, "embeddings"))
