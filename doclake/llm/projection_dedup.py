@@ -49,7 +49,7 @@ THRESHOLD = 0.98
 WINDOW = 32
 BITS = 63
 MISSED = 0.005
-CELL = 2048
+CELL = 256
 # Room for rounding where the triangle inequality decides in place of a product.
 SLACK = 1e-6
 
