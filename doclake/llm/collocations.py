@@ -50,7 +50,7 @@ SHARE = 50
 TOP = 2000
 SCALE = 1_000_000
 SHARDS = 2
-SLOT_BITS = 24
+SLOT_BITS = 23
 NEVER = 255
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -215,8 +215,11 @@ def _scan(tables, step: int, shards: int, max_words: int, slot_bits: int):
     return run
 
 
-def slots_of(phrases: DataFrame, length: int, slot_bits: int) -> np.ndarray:
-    """A bit per slot that some of the phrases falls into; 2 ** slot_bits of them, whatever the input."""
+def slots_of(phrases: DataFrame, length: int, slot_bits: int) -> list[tuple[int, np.ndarray]]:
+    """Which slots some of the phrases fall into: blocks of bits with the slot each begins at.
+
+    There are 2 ** slot_bits bits at most, whatever the input.
+    """
     low = np.uint64((1 << slot_bits) - 1)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +234,19 @@ def slots_of(phrases: DataFrame, length: int, slot_bits: int) -> np.ndarray:
         return pa.table({"block": rows.column("block")[:1], "bits": [np.packbits(bits).tobytes()]})
 
     found = phrases.select(*word_columns(length)).mapInArrow(slots, "block long, slot long").distinct()
-    out = np.zeros(1 << slot_bits, bool)
-    for row in found.groupBy("block").applyInArrow(packed, "block long, bits binary").collect():
-        first = row["block"] << _BLOCK_BITS
-        size = min(1 << _BLOCK_BITS, len(out))
-        out[first : first + size] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[:size].astype(bool)
-    return out
+    blocks = found.groupBy("block").applyInArrow(packed, "block long, bits binary").collect()
+    return [(row["block"] << _BLOCK_BITS, np.frombuffer(row["bits"], np.uint8)) for row in blocks]
+
+
+def mark(table: np.ndarray, slots: list[tuple[int, np.ndarray]], value: int) -> bool:
+    """Write a value to the marked slots that hold a larger one; says whether there were any."""
+    changed = False
+    for first, bits in slots:
+        part = table[first : first + (1 << _BLOCK_BITS)]
+        fresh = np.unpackbits(bits)[: len(part)].astype(bool) & (part > value)
+        part[fresh] = value
+        changed = changed or bool(fresh.any())
+    return changed
 
 
 def phrase_counts(
@@ -261,11 +271,11 @@ def phrase_counts(
         shard = rows.where(F.col("shard") == step % shards).select("lang", "text")
         scans.append(stored(shard.mapInArrow(_scan(tables, step, shards, max_words, slot_bits), out), "phrases"))
         tables.destroy()
-        reached = [np.zeros(1 << slot_bits, bool) for _ in range(max_words)]
+        reached: list[tuple[int, list]] = []
         for length in range(1, max_words + 1):
             # A phrase is active from the latest step that any table names for a part of it.
-            cohorts = {0} if length == 1 else set().union(*(np.unique(t).tolist() for t in since[: length - 1])) - {NEVER}
-            for cohort in (c for c in cohorts if c <= step < c + shards):
+            started = [c for c in range(max(0, step - shards + 1), step + 1) if any((t == c).any() for t in since[: length - 1])]
+            for cohort in ([0] if step < shards else []) if length == 1 else started:
                 complete = step == cohort + shards - 1
                 if length == max_words and not complete:
                     continue
@@ -277,12 +287,10 @@ def phrase_counts(
                 if complete:
                     done[length].append(counted)
                 if length < max_words:
-                    reached[length - 1] |= slots_of(counted, length, slot_bits)
-        for length in range(1, max_words):
-            fresh = reached[length - 1] & (since[length - 1] == NEVER)
-            since[length - 1][fresh] = step + 1
-            if fresh.any():
-                last = max(last, step + shards)
+                    reached.append((length, slots_of(counted, length, slot_bits)))
+        for length, slots in reached:
+            if mark(since[length - 1], slots, step + 1):
+                last = step + shards
         step += 1
     total = reduce(DataFrame.unionByName, scans[:shards]).where("length = 1").groupBy("lang").agg(F.sum("n").alias("n_words"))
     empty = scans[0].limit(0)
@@ -344,7 +352,7 @@ def _spelling(wanted, slot_bits: int):
         mask, seen = np.uint64((1 << slot_bits) - 1), np.zeros(0, np.uint64)
         for batch in batches:
             for words, _ in batches_of_words(batch):
-                at = np.flatnonzero(flags[words.hashes & mask])
+                at = np.flatnonzero(flags[words.hashes & mask] == 0)
                 found, first = np.unique(words.hashes[at], return_index=True)
                 new = ~np.isin(found, seen)
                 if new.any():
@@ -387,7 +395,9 @@ def collocations(
     best = stored(best.where(F.col("place") <= top).drop("place"), "best")
     keys = word_columns(max_words)
     parts = best.select(F.explode(F.array(*keys)).alias("w1")).where("w1 is not null").distinct()
-    wanted = spark.sparkContext.broadcast(slots_of(parts, 1, slot_bits))
+    flags = np.full(1 << slot_bits, 1, np.uint8)
+    mark(flags, slots_of(parts, 1, slot_bits), 0)
+    wanted = spark.sparkContext.broadcast(flags)
     spelt = stored(rows.select("lang", "text").mapInArrow(_spelling(wanted, slot_bits), "word long, spelt string"), "spelling")
     wanted.destroy()
     spelt = spelt.groupBy("word").agg(F.min("spelt").alias("spelt"))
