@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclake.functions import chunking, names
 from doclake.functions import fixed_values as fv
 from doclake.functions.text import haystack, is_blank, or_empty, plain_text, strip
-from doclake.operators.pages import PAGE_BLOCK, page_part
+from doclake.operators.pages import PAGE_BLOCK, page_digest, page_part
 from doclake.operators.postings import text_tokens
 from doclake.operators.ranking import block_starts
 from doclake.session import lookup_join, stored
@@ -43,7 +43,10 @@ def _to_fragments(numbered: DataFrame) -> DataFrame:
 
 
 def fragments_from_markdown(docs: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CHARS) -> DataFrame:
-    """Fragments of ``(document_id, file_name, markdown)`` without any shuffle."""
+    """Fragments of ``(document_id, file_name, markdown)`` without any shuffle.
+
+    Ids are unique where a document has one body, see :func:`one_body`.
+    """
     pieces = chunking.pieces(chunking.sections(F.col("markdown")), max_chars)
     numbered = docs.select(
         "document_id", F.col("file_name").alias("source"), F.posexplode(pieces)
@@ -53,6 +56,25 @@ def fragments_from_markdown(docs: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CH
     return _to_fragments(numbered)
 
 
+def one_body(docs: DataFrame) -> DataFrame:
+    """``(document_id, file_name, markdown)`` with one row per document: of several bodies the largest.
+
+    A maximum, so copies do not pile up in a task; the others are named by
+    :func:`repeated_bodies`.
+    """
+    most = F.max(F.struct("file_name", "markdown")).alias("most")
+    return docs.groupBy("document_id").agg(most).select("document_id", "most.file_name", "most.markdown")
+
+
+def repeated_bodies(docs: DataFrame) -> DataFrame:
+    """``(filename, status, error)`` for documents that have more than one body."""
+    return docs.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.coalesce("document_id", F.lit("")).alias("filename"),
+        F.lit("error").alias("status"),
+        F.concat(F.lit("Documento repetido: "), F.col("n").cast("string")).alias("error"),
+    )
+
+
 def fragments_from_pages(pages: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CHARS) -> DataFrame:
     """Same fragments as assembling the pages first, without assembling them.
 
@@ -68,30 +90,37 @@ def fragments_from_pages(pages: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CHAR
 
     Pieces are cut once, numbered within their page and written to the shared
     folder; the counts are read from there, and pieces need no shuffle while the
-    counts are few.  Pages without a document or number give no fragment, see
-    :func:`doclake.operators.pages.page_errors`.
+    counts are few.  A page number given more than once is numbered as often, in
+    the order of the assembled body.  Pages without a document or number give no
+    fragment, see :func:`doclake.operators.pages.page_errors`.
     """
-    body = F.ltrim(page_part(F.col("page_no"), F.col("page_text")), F.lit("\n"))
-    placed = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
+    part = page_part(F.col("page_no"), F.col("page_text"))
+    body = F.ltrim(part, F.lit("\n"))
+    # The row number tells pages of one number and text apart; it is written before it is used.
+    rows = pages.withColumn("page_row", F.monotonically_increasing_id())
+    placed = rows.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
     cut = placed.select(
         "document_id",
         "page_no",
         F.floor(F.col("page_no") / PAGE_BLOCK).alias("page_block"),
+        page_digest(part).alias("digest"),
+        "page_row",
         F.posexplode_outer(chunking.pieces(chunking.sections(body), max_chars)),
     )
-    pieces = stored(cut.select("document_id", "page_no", "page_block", "pos", "col.*"), "pieces")
-    counts = pieces.groupBy("document_id", "page_block", "page_no").agg(F.count("pos").alias("n"))
+    page = ["document_id", "page_no", "page_row"]
+    pieces = stored(cut.select(*page, "page_block", "digest", "pos", "col.*"), "pieces")
+    counts = pieces.groupBy(*page, "page_block", "digest").agg(F.count("pos").alias("n"))
     starts = block_starts(counts, ["document_id"], ["page_block"], F.col("n")).drop("group_total")
     earlier = (
         Window.partitionBy("document_id", "page_block")
-        .orderBy("page_no")
+        .orderBy("page_no", "digest", "page_row")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = counts.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     firsts = before.join(starts, ["document_id", "page_block"]).select(
-        "document_id", "page_no", (F.col("block_start") + F.col("_before") + 2).alias("_first")
+        *page, (F.col("block_start") + F.col("_before") + 2).alias("_first")
     )
-    numbered = lookup_join(pieces, firsts, ["document_id", "page_no"], "inner").select(
+    numbered = lookup_join(pieces, firsts, page, "inner").select(
         "document_id",
         F.concat("document_id", F.lit(".md")).alias("source"),
         (F.col("_first") + F.col("pos")).alias("chunk_number"),

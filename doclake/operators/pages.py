@@ -20,9 +20,17 @@ def page_part(page_no: Column, page_text: Column) -> Column:
     )
 
 
+def page_digest(part: Column) -> Column:
+    """Puts pages of one number in an order that needs no more than a number of each."""
+    return F.xxhash64(part)
+
+
 def assemble_pages(pages: DataFrame) -> DataFrame:
     """``(document_id, file_name, markdown)``: one body per document, its pages in order.
 
+    A page number given more than once stays as often, in the order of
+    :func:`page_digest`.
+
     Pages are joined in blocks of ``PAGE_BLOCK`` page numbers first and the
     blocks next, so no task sorts the pages of a whole document; a body itself
     is as long as its document.  Pages without a document or number have no
@@ -30,10 +38,11 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     :func:`doclake.operators.fragments.fragments_from_pages`, which needs no
     body at all.
     """
+    part = page_part(F.col("page_no"), F.col("page_text"))
     parts = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull()).select(
         "document_id",
         F.floor(F.col("page_no") / PAGE_BLOCK).alias("block"),
-        F.struct("page_no", page_part(F.col("page_no"), F.col("page_text")).alias("part")).alias("page"),
+        F.struct("page_no", page_digest(part).alias("digest"), part.alias("part")).alias("page"),
     )
     blocks = parts.groupBy("document_id", "block").agg(_in_order("page").alias("part"))
     bodies = blocks.groupBy("document_id").agg(_in_order(F.struct("block", "part")).alias("markdown"))

@@ -94,6 +94,12 @@ ALL_DOCS = f"""{PAGE_DOCS}, {MARKUP_DOCS},
 
 ONLY_PAGE_DOCS = f"{PAGE_DOCS}, md as (select document_id, file_name, markdown from page_docs)"
 
+UPLOADED_DOCS = ONLY_PAGE_DOCS.replace("from page_texts group by", "from page_texts where page_no % 4 <> 0 group by")
+TWICE_DOCS = ONLY_PAGE_DOCS.replace(
+    "from page_texts group by",
+    "from (select * from page_texts union all select * from page_texts where page_no % 3 = 1 and page_no < 9) p group by",
+)
+
 SECTIONS = f"""
   lines as (
     select document_id, unnest(ls) as l, generate_subscripts(ls, 1) as pos
@@ -547,5 +553,16 @@ ORACLES: dict[str, str] = {
     "client_errors": CLIENT_ERRORS,
     "stream_ingest": _from_fragments("select * from fragments"),
     "stream_ingest_pages": _from_fragments("select * from fragments"),
+    "stream_uploads": _from_fragments(
+        "select id, document_id, chunk_number, section, content_text from fragments", UPLOADED_DOCS
+    ),
+    "repeated_pages": _from_fragments(
+        "select document_id, count(*) as n_fragments, count(distinct id) as n_ids, max(chunk_number) as last_number "
+        "from fragments group by document_id",
+        TWICE_DOCS,
+    ),
+    "repeated_bodies": f"""with {MARKUP_DOCS}
+        select document_id as filename, 'error' as status, 'Documento repetido: 2' as error
+        from markup_docs where document_id like '%_x'""",
     "stream_client_errors": CLIENT_ERRORS,
 }

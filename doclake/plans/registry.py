@@ -508,13 +508,43 @@ def stream_ingest(v: Views) -> DataFrame:
 
 @query
 def stream_ingest_pages(v: Views) -> DataFrame:
+    # The pages of a document lie in several files, and every file is a batch of its own.
     path = new_shared_path(v.spark, "ingest")
-    v.page_texts().write.parquet(f"{path}/pages")
-    pages_in = streaming.stream_pages_table(v.spark, f"{path}/pages")
+    v.page_texts().repartition(3, F.col("page_no") % 3).write.parquet(f"{path}/pages")
+    pages_in = streaming.stream_pages_table(v.spark, f"{path}/pages", max_files=1)
     streaming.stream_ingest_pages(pages_in, f"{path}/store", f"{path}/checkpoint").awaitTermination()
     return streaming.read_store(v.spark, f"{path}/store")
 
 
+@query
+def stream_uploads(v: Views) -> DataFrame:
+    """Two uploads of every page, page by page in any order; the second one has other numbers of drawings and text."""
+    path = new_shared_path(v.spark, "ingest")
+    first = v.page_texts().withColumn("page_text", F.lit("old")).withColumn("upload", F.lit(1).cast("long"))
+    second = v.page_texts().where("page_no % 4 <> 0").withColumn("upload", F.lit(2).cast("long"))
+    both = first.unionByName(second).withColumn("part", F.pmod(F.col("page_no") + F.col("upload"), F.lit(2)))
+    both.repartition(2, "part").drop("part").write.parquet(f"{path}/pages")
+    pages_in = streaming.stream_pages_table(v.spark, f"{path}/pages", max_files=1)
+    streaming.stream_ingest_pages(pages_in, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return streaming.read_store(v.spark, f"{path}/store").select("id", "document_id", "chunk_number", "section", "content_text")
+
+
+@query
+def repeated_pages(v: Views) -> DataFrame:
+    """Pages given several times keep apart: as many ids as in the assembled body, none twice."""
+    twice = v.page_texts().where("page_no % 3 = 1 and page_no < 9")
+    found = fragments.fragments_from_pages(v.page_texts().unionByName(twice))
+    return found.groupBy("document_id").agg(
+        F.count("*").alias("n_fragments"), F.count_distinct("id").alias("n_ids"), F.max("chunk_number").alias("last_number")
+    )
+
+
+@query
+def repeated_bodies(v: Views) -> DataFrame:
+    docs = v.markup_docs()
+    return fragments.repeated_bodies(docs.unionByName(docs.where("document_id like '%_x'")))
+
+
 @query
 def stream_client_errors(v: Views) -> DataFrame:
     path = new_shared_path(v.spark, "errors")

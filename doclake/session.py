@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 _own_dirs: dict[str, str] = {}
 _stored_paths: dict[str, list[str]] = {}
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +53,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     lost executors, and the size of the table is known to later plans.
     """
     path = new_shared_path(df.sparkSession, name)
-    _stored_paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    scope = getattr(_scopes, "paths", None)
+    if scope is None:
+        scope = _stored_paths.setdefault(df.sparkSession.sparkContext.applicationId, [])
+    scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,16 +66,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables this thread stores inside the block when the block ends.
+
+    For jobs that go on for long, such as a stream: what a micro-batch stored on
+    its way is gone when its results are written, also after a failure.
+    """
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = []
+    try:
+        yield
+    finally:
+        paths, _scopes.paths = _scopes.paths, outer
+        _remove(spark, paths)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete the intermediate tables this application has stored so far.
 
     To be called when the results built on them are written; tables that were
     stored earlier cannot be read afterwards.
     """
-    context = spark.sparkContext
-    for path in _stored_paths.pop(context.applicationId, []):
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    _remove(spark, _stored_paths.pop(spark.sparkContext.applicationId, []))
 
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)

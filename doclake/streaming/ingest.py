@@ -8,6 +8,15 @@ The store is two append-only Parquet tables with one folder per micro-batch:
 A batch that is repeated after a failure overwrites its own folders, and a
 reader takes each document from its newest batch, so a document that comes
 again replaces all of its earlier fragments.
+
+A store of pages has two more of the kind:
+
+* ``pages/batch_id=N`` holds the pages that came with batch N;
+* ``errors/batch_id=N`` names pages without a place.
+
+The pages of an upload may come in any number of batches.  A batch cuts every
+document it touches anew, from all pages of its latest upload so far, as pages
+that come later move the numbers of the fragments after them.
 """
 
 from __future__ import annotations
@@ -20,13 +29,14 @@ from pyspark.sql.streaming import StreamingQuery
 from doclake import schemas
 from doclake.operators.fragments import fragments_from_markdown, fragments_from_pages
 from doclake.operators.pages import page_errors
-from doclake.session import lookup_join, path_exists, stored
+from doclake.session import intermediate, lookup_join, path_exists, stored
 from doclake.sources.client_errors import client_errors
 from doclake.sources.markdown import with_identity
 
 _BATCH = T.StructField("batch_id", T.LongType())
 STORED_FRAGMENT = T.StructType([*schemas.FRAGMENT.fields, _BATCH])
 LEDGER = T.StructType([T.StructField("document_id", T.StringType()), _BATCH])
+STORED_PAGE = T.StructType([*schemas.PAGE_UPLOAD.fields, _BATCH])
 
 
 def stream_markdown(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -59,22 +69,58 @@ def _write_batch(store: str, batch_id: int, fragments: DataFrame, documents: Dat
 def _store_batch(store: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # Read and reduced once, for fragments and ledger.
-        docs = stored(newest_bodies(batch), "batch")
-        _write_batch(store, batch_id, fragments_from_markdown(docs), docs.select("document_id"))
+        with intermediate(batch.sparkSession):
+            docs = stored(newest_bodies(batch), "batch")
+            _write_batch(store, batch_id, fragments_from_markdown(docs), docs.select("document_id"))
 
     return write
 
 
 def _store_pages(store: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        pages = stored(batch, "batch")
-        placed = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
+        spark = batch.sparkSession
+        pages = _with_upload(batch)
         page_errors(pages).write.mode("overwrite").parquet(f"{store}/errors/batch_id={batch_id}")
-        _write_batch(store, batch_id, fragments_from_pages(placed), placed.select("document_id").distinct())
+        placed = pages.where(F.col("document_id").isNotNull() & F.col("page_no").isNotNull())
+        placed.write.mode("overwrite").parquet(f"{store}/pages/batch_id={batch_id}")
+        with intermediate(spark):
+            touched = stored(
+                spark.read.schema(schemas.PAGE_UPLOAD).parquet(f"{store}/pages/batch_id={batch_id}")
+                .select("document_id").distinct(),
+                "touched",
+            )
+            so_far = current_pages(spark, store, touched, batch_id)
+            _write_batch(store, batch_id, fragments_from_pages(so_far), touched)
 
     return write
 
 
+def _with_upload(pages: DataFrame) -> DataFrame:
+    """Pages without an upload number belong to upload 0."""
+    upload = F.col("upload") if "upload" in pages.columns else F.lit(None)
+    return pages.select(*schemas.PAGE_TEXT.fieldNames(), F.coalesce(upload.cast("long"), F.lit(0)).alias("upload"))
+
+
+def current_pages(spark: SparkSession, store: str, documents: DataFrame, last_batch: int) -> DataFrame:
+    """The pages of the latest upload of some documents, as of a batch.
+
+    Of a page number that an upload sent in several batches the latest counts, so
+    a page can be sent again; copies inside one batch stay.  The pages of other
+    documents are dropped by a join on the id before anything is shuffled, and
+    batches that hold no page of these documents are not read beyond their ids.
+    """
+    kept = spark.read.schema(STORED_PAGE).parquet(f"{store}/pages").where(F.col("batch_id") <= last_batch)
+    ours = lookup_join(kept, documents, "document_id", "left_semi")
+    numbers = lookup_join(
+        kept.select("document_id", "page_no", "upload", "batch_id"), documents, "document_id", "left_semi"
+    )
+    newest = numbers.groupBy("document_id").agg(F.max("upload").alias("upload"))
+    latest = lookup_join(numbers, newest, ["document_id", "upload"], "left_semi")
+    latest = latest.groupBy("document_id", "page_no", "upload").agg(F.max("batch_id").alias("batch_id"))
+    found = lookup_join(ours, latest, ["document_id", "page_no", "upload", "batch_id"], "left_semi")
+    return found.select(*schemas.PAGE_TEXT.fieldNames())
+
+
 def stream_ingest(docs: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Start a query that takes in everything that is there and then ends."""
     return (
@@ -86,15 +132,16 @@ def stream_ingest(docs: DataFrame, store: str, checkpoint: str) -> StreamingQuer
 
 
 def stream_pages_table(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Rows added to a page table as a stream."""
-    return spark.readStream.schema(schemas.PAGE_TEXT).option("maxFilesPerTrigger", max_files).parquet(path)
+    """Rows added to a page table, with or without upload numbers, as a stream."""
+    return spark.readStream.schema(schemas.PAGE_UPLOAD).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def stream_ingest_pages(pages: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Take in pages as they are uploaded; no body is put together.
 
-    All pages of an upload come in one batch, and an upload replaces the
-    document.  Pages without a place go to the store's ``errors``.
+    An upload may be spread over any number of batches, and one with a larger
+    number replaces the document.  Pages that come late for an upload that was
+    replaced change nothing.  Pages without a place go to the store's ``errors``.
     """
     return (
         pages.writeStream.foreachBatch(_store_pages(store))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclake import schemas, session
-from doclake.operators import fragments
+from doclake.operators import pages, fragments
 from doclake.sources import client_errors, files, markdown
 from doclake.sources import fragments as fragment_store
 from doclake.sources import index as index_store
@@ -108,21 +108,56 @@ def test_store_without_a_batch_is_empty(spark, tmp_path):
 
 
 def test_uploaded_pages_replace_their_document(spark, tmp_path):
-    from doclake.streaming import ingest as streaming
-
-    def upload(rows, number):
-        spark.createDataFrame(rows, schemas.PAGE_TEXT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
-        stream = streaming.stream_pages_table(spark, f"{tmp_path}/pages")
+    def upload(rows, number, files=1):
+        numbered = spark.createDataFrame([(*r, number) for r in rows], schemas.PAGE_UPLOAD)
+        numbered.repartition(files).write.mode("append").parquet(f"{tmp_path}/pages")
+        stream = streaming.stream_pages_table(spark, f"{tmp_path}/pages", max_files=1)
         streaming.stream_ingest_pages(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
         return sorted((r["id"], r["content_text"][-5:]) for r in streaming.read_store(spark, f"{tmp_path}/store").collect())
 
-    first = upload([("a", 1, "one a", 0), ("a", 2, "two a", 0), ("b", 1, "one b", 0), ("b", None, "lost", 0)], 0)
+    first = upload([("a", 1, "one a", 0), ("a", 2, "two a", 0), ("b", 1, "one b", 0), ("b", None, "lost", 0)], None)
     assert [i for i, _ in first] == ["a-fragment-2", "a-fragment-3", "b-fragment-2"]
     second = upload([("a", 1, "new a", 0)], 1)
     assert second == [("a-fragment-2", "new a"), ("b-fragment-2", "one b")]
+    # Pages of the same upload that come later join it, page by page and in any order.
+    third = upload([("a", 4, "4th a", 0), ("a", 3, "3rd a", 0), ("a", 2, "2nd a", 0)], 1, files=3)
+    assert third == [(f"a-fragment-{n + 1}", x) for n, x in ((1, "new a"), (2, "2nd a"), (3, "3rd a"), (4, "4th a"))] + [("b-fragment-2", "one b")]
+    # A page that is sent again replaces itself; one of an upload that was replaced changes nothing.
+    assert upload([("a", 2, "2ND a", 0)], 1)[1] == ("a-fragment-3", "2ND a")
+    assert upload([("a", 9, "late a", 0)], 0) == upload([], 1) and len(upload([], 1)) == 5
     assert spark.read.parquet(f"{tmp_path}/store/errors").count() == 1
 
 
+def test_pages_of_a_document_in_many_batches(spark, tmp_path):
+    """One file per trigger and every page in a file of its own: nothing is lost."""
+    rows_in = [("d", n, f"# Title {n}\n\nbody {n}", 0) for n in range(1, 8)] + [("e", n, f"text {n}", 0) for n in (5, 2)]
+    spark.createDataFrame(rows_in, schemas.PAGE_TEXT).repartition(9).write.parquet(f"{tmp_path}/pages")
+    before = set(_shared_names(spark))
+    stream = streaming.stream_pages_table(spark, f"{tmp_path}/pages", max_files=1)
+    streaming.stream_ingest_pages(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
+    want = fragments.fragments_from_pages(spark.createDataFrame(rows_in, schemas.PAGE_TEXT))
+    assert rows(streaming.read_store(spark, f"{tmp_path}/store")) == rows(want)
+    # What the batches stored on their way is gone again.
+    assert not [n for n in set(_shared_names(spark)) - before if n.startswith(("touched", "batch"))]
+
+
+def _shared_names(spark):
+    import os
+
+    return os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+
+def test_repeated_pages_and_bodies_get_ids_of_their_own(spark):
+    rows_in = [("d", 1, "one", 0), ("d", 2, "two", 0), ("d", 2, "two", 0), ("d", 2, "# other\n\n# heads", 0), ("d", 3, "three", 0)]
+    pages_in = spark.createDataFrame(rows_in, schemas.PAGE_TEXT).repartition(3)
+    found = rows(fragments.fragments_from_pages(pages_in))
+    assert found == rows(fragments.fragments_from_markdown(pages.assemble_pages(pages_in)))
+    assert len({r[0] for r in found}) == len(found) >= 6
+    docs = spark.createDataFrame([("x", "x.md", "# a"), ("x", "x.md", "# b"), ("y", "y.md", "# c")], schemas.MARKDOWN)
+    assert rows(fragments.repeated_bodies(docs)) == [("x", "error", "Documento repetido: 2")]
+    assert rows(fragments.one_body(docs)) == [("x", "x.md", "# b"), ("y", "y.md", "# c")]
+
+
 def test_index_forms_and_refresh(spark, folder, tmp_path):
     wanted = fragments.fragments_from_markdown(markdown.read_markdown(spark, str(folder)))
     index_store.write_index(wanted, f"{tmp_path}/i")
