@@ -490,6 +490,7 @@ ORACLES: dict[str, str] = {
         select query_id, pos, text, is_phrase from terms""",
     "search_global": SEARCH_HITS,
     "search_global_postings": SEARCH_HITS,
+    "search_phrases": SEARCH_HITS.replace(_view(views.SEARCH_REQUESTS), _view(views.PHRASE_REQUESTS)),
     "search_single": _from_fragments(
         """select id, document_id, title, section, chunk_number, source, content_text, score from (
           select *, (least(n1, 5) + least(n2, 5)) * 10 + 20000 + n3 * 50000 as score from (

@@ -386,6 +386,16 @@ def search_global_postings(v: Views) -> DataFrame:
     return search.search_stored(index, v.search_requests(), posted, vocab)
 
 
+@query
+def search_phrases(v: Views) -> DataFrame:
+    """Phrases that begin and end inside words, from positional postings."""
+    index = _stored_index(v)
+    path = new_shared_path(v.spark, "postings")
+    index_store.write_postings(index, path)
+    posted, vocab = index_store.read_postings(v.spark, path)
+    return search.search_stored(index, v.phrase_requests(), posted, vocab)
+
+
 @query
 def rejected_requests(v: Views) -> DataFrame:
     asked = v.odd_requests()

@@ -133,6 +133,17 @@ from (select item_id, regexp_extract(text, '^([a-zA-Z]+)', 1) as a,
              regexp_extract(text, '^[^ ]+ ([^ ]+)', 1) as b from benchmark) x
 """
 
+# Quoted parts of every item of ``benchmark`` that begin and end inside a word, and the first words of each turn.
+PHRASE_REQUESTS = """
+select item_id as query_id, concat('"', right(a, 2), ' ', b, ' ', left(c, 2), '"') as query, 20 as request_limit
+from (select item_id, regexp_extract(text, '^([a-zA-Z]+) ', 1) as a, regexp_extract(text, '^[a-zA-Z]+ ([a-zA-Z]+) ', 1) as b,
+             regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+ ([a-zA-Z]+)', 1) as c from benchmark) x
+union all
+select 100000 + conv_id * 1000 + turn as query_id, concat('"', right(a, 1), ' ', left(b, 2), '"') as query, 5 as request_limit
+from (select conv_id, turn, regexp_extract(text, '([a-zA-Z]+) [a-zA-Z]+', 1) as a,
+             regexp_extract(text, '[a-zA-Z]+ ([a-zA-Z]+)', 1) as b from conversations) x
+"""
+
 # Long search strings: every turn of every conversation.
 LONG_REQUESTS = """
 select conv_id * 1000 + turn as query_id,
@@ -217,6 +228,9 @@ class Views:
     def search_requests(self) -> DataFrame:
         return self._sql(SEARCH_REQUESTS).withColumnRenamed("request_limit", "limit")
 
+    def phrase_requests(self) -> DataFrame:
+        return self._sql(PHRASE_REQUESTS).withColumnRenamed("request_limit", "limit")
+
     def long_requests(self) -> DataFrame:
         return self._sql(LONG_REQUESTS)
 

@@ -104,6 +104,60 @@ def test_stored_postings_equal_brute_force(spark, indexed, tmp_path):
     assert answers(search.search(index, requests, vocab)) == expected
 
 
+PHRASES = [
+    '"a a"', '"aa aa"', '"a a a"', '"he the"', '"e t"', '"the the the"', '"hen othe"', '"x y x"', '"ther the"', '"e of"', '"la de la"',
+    '"a  aa"', "a aa", "the then other", '"sec the"', '"hot doc"', '"é é"', '"the" the',
+]
+
+
+def test_phrases_equal_brute_force(spark, tmp_path):
+    """Phrases over both token borders, with overlaps, line ends and runs of spaces between words."""
+    fragments = small_index(spark, seed=11, count=400)
+    write_index(fragments, f"{tmp_path}/rows")
+    index = read_index(spark, f"{tmp_path}/rows")
+    write_postings(index, str(tmp_path), buckets=5, spread=2)
+    posted, vocab = read_postings(spark, str(tmp_path))
+    asked = [(n, q, 100) for n, q in enumerate(PHRASES)]
+    requests = spark.createDataFrame(asked, "query_id long, query string, limit int")
+    expected = brute_force(fragments, requests, spark)
+    assert len({row[0] for row in expected}) > 10
+    assert answers(search.search_stored(index, requests, posted, vocab)) == expected
+
+
+def test_stored_search_reads_texts_of_hits_only(spark, indexed, tmp_path):
+    """Scores come from postings: neither haystack nor token lists are read for them."""
+    fragments, _ = indexed
+    write_index(fragments, f"{tmp_path}/rows")
+    index = read_index(spark, f"{tmp_path}/rows")
+    write_postings(index, str(tmp_path), buckets=8, spread=3)
+    posted, vocab = read_postings(spark, str(tmp_path))
+    requests = request_rows(spark, limits=(10,))
+    found = search.search_stored(index, requests, posted, vocab)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "haystack" not in plan and "tokens#" not in plan
+    searches = session.stored(search.distinct_searches(search.checked_requests(requests)), "s")
+    matches = postings.stored_matches(searches, posted, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "content_text" not in matches and "CartesianProduct" not in matches and "NestedLoop" not in matches
+
+
+def test_words_with_a_common_opening_meet_few_tokens(spark):
+    """Words and tokens that all open alike meet on a rarer run of characters."""
+    vocab = spark.range(20_000).select(
+        F.concat(F.lit("con"), F.lower(F.conv("id", 10, 36)), F.lit("q")).alias("token"), F.lit(1).cast("long").alias("fragments")
+    )
+    words = spark.range(500).select(F.concat(F.lit("con"), F.lower(F.conv(F.col("id") * 37 + 1000, 10, 36))).alias("word"))
+    found = postings.match_words(words, vocab, True)
+    want = {(w, t) for w in (r[0] for r in words.collect()) for t in (r[0] for r in vocab.collect()) if w in t}
+    assert {(r["word"], r["token"]) for r in found.collect()} == want
+    asked = words.select("word", F.explode(postings.word_grams(F.col("word"))).alias("gram"))
+    tokens = vocab.select("token", F.explode(postings.token_grams(F.col("token"), [3])).alias("gram"))
+    counts = {r["gram"]: r["n"] for r in tokens.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    grams = {}
+    for r in asked.collect():
+        grams.setdefault(r["word"], []).append(counts.get(r["gram"], 0))
+    assert sum(min(n) for n in grams.values()) < 500 * 200 < sum(max(n) for n in grams.values())
+
+
 def test_search_one_equals_batch(spark, indexed):
     fragments, index = indexed
     for query in [q for q in REQUESTS if q]:
