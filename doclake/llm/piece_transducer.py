@@ -61,7 +61,7 @@ _machines: dict[str, "Transducer"] = {}
 
 
 def load(path: str) -> "Transducer":
-    """The compiled machines of a file, kept for the life of the Python worker."""
+    """The compiled machines of a file; :func:`encode` drops them and their caches when a task ends."""
     if path not in _machines:
         with open(path, "rb") as file:
             _machines[path] = Transducer(file.read())
@@ -381,7 +381,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = load(path)
+        # A worker goes on to tasks of other kinds, which need the memory.
+        try:
+            yield from encoded(load(path), batches)
+        finally:
+            _machines.pop(path, None)
+
+    def encoded(machine: Transducer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for start, end in slices_by_bytes(texts, BATCH_BYTES):
