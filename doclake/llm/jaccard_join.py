@@ -35,7 +35,7 @@ from doclake.session import broadcast_if, fits_broadcast, lookup_join, stored
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # in hundredths
 
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 1024 * 1024
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 SUFFIX_PARTS, PER_PART = 16, 8
 PAIR_GROUP, LOCAL_GROUP, WIDE_GROUP = 8, 512, 4096
@@ -43,6 +43,8 @@ CHAIN, PAIR, WIDE = 0, 1, 2
 POSTINGS_PER_BUCKET = 100_000
 CLUSTER_ROWS = 512
 BIN_ROWS = 1024
+# Small clusters are put together up to about so many shingles.
+BIN_SHINGLES = 1_000_000
 
 DIGEST = "doc_id long, has_id boolean, version long, n long, node long, prefix binary, suffix binary"
 
@@ -401,18 +403,19 @@ def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
         "doc_id", "has_id", "version", "node", F.col("cluster").alias("cell"), F.lit(False).alias("side")
     )
     large = _large_cells(members.where(F.col("members") > CLUSTER_ROWS), threshold, ["doc_id", "has_id", "version", "node"])
-    large = stored(large, "cells")
-    # A class of a large cluster is in many cells; its rows count as often.
-    bins = max(1, -(-(small.count() + large.count()) // BIN_ROWS))
-    cells = small.unionByName(large)
-    cells = cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)))
+    # A cell of a large cluster is a group of its own; small clusters share one by their size in shingles.
+    total = members.where(F.col("members") <= CLUSTER_ROWS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = max(1, -(-int(total) // BIN_SHINGLES))
+    cells = small.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins))).unionByName(large.withColumn("bin", F.col("cell")))
     texts = lookup_join(rows, cells, ["doc_id", "has_id", "version"], "inner").select("bin", "cell", "side", "node", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, side, node, sets = [], [], [], []
         for batch in batches:
-            found, bounds = shingle_sets(batch.column("text"), size)
-            sets += [found[b:e] for b, e in zip(bounds[:-1], bounds[1:])]
+            for start, end in slices_by_bytes(batch.column("text"), BATCH_BYTES):
+                found, bounds = shingle_sets(batch.column("text").slice(start, end - start), size)
+                # A copy, as a part keeps the arrays of the whole slice alive.
+                sets += [found[b:e].copy() for b, e in zip(bounds[:-1], bounds[1:])]
             for column, name in ((cell, "cell"), (side, "side"), (node, "node")):
                 column.append(batch.column(name).to_numpy(zero_copy_only=False))
         cell, side, node = (np.concatenate(c) for c in (cell, side, node))
