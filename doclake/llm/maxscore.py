@@ -29,7 +29,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """``(vec_id, v)`` with components ``floor(scale * x)``.
 
     Vectors that are null or hold a null or non-finite component, and null ids,
-    take no part.  Of several vectors with one id the smallest counts.
+    take no part.  Rows that share an id are candidates of their own.
     """
     number = F.col(vector_col)
 
@@ -39,14 +39,14 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     fit = vectors.where(F.col(id_col).isNotNull() & number.isNotNull()).where(~F.exists(number, unfit))
     whole = F.transform(number, lambda x: F.floor(scale * x.cast("double")))
-    rows = fit.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return fit.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` candidates of highest inner product per query.
 
-    Both tables are ``(vec_id, v)`` with ids that are unique; a vector shorter
+    Both tables are ``(vec_id, v)``; queries that share an id have one list, the
+    best of all of them, and candidates that share one are told apart.  A vector shorter
     than the longest has zeros for the rest, and a candidate with the id of a
     query is not its partner.  Ties go to the smaller id; a query with fewer
     candidates gets all.
@@ -65,7 +65,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return rows.select(
             "vec_id",
             padded.alias("v"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own),
+            F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
         )
 

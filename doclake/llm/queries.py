@@ -168,10 +168,14 @@ pairs as (
 marked as (
   select doc_id, n, row_number() over (partition by a, b order by doc_id, n) > 1 as later
   from pairs where b is not null and (regexp_matches(a, '\S') or regexp_matches(b, '\S'))),
+passages as (
+  select doc_id, n, row_number() over (partition by line order by doc_id, n) > 1 as later
+  from rows where len(regexp_extract_all(line, '\S+')) >= 50),
 gone as (
-  select r.doc_id, r.n, r.line, coalesce(x.later, false) or coalesce(y.later, false) as gone
+  select r.doc_id, r.n, r.line, coalesce(x.later, false) or coalesce(y.later, false) or coalesce(p.later, false) as gone
   from rows r left join marked x on r.doc_id = x.doc_id and r.n = x.n
-  left join marked y on r.doc_id = y.doc_id and r.n = y.n + 1),
+  left join marked y on r.doc_id = y.doc_id and r.n = y.n + 1
+  left join passages p on r.doc_id = p.doc_id and r.n = p.n),
 runs as (
   select *, n - row_number() over (partition by doc_id, gone order by n) as run from gone),
 lengths as (select doc_id, run, count(*) as length from runs where gone group by doc_id, run),

@@ -181,6 +181,9 @@ def brute_lines(rows, min_lines):
             run = tuple(lines[n : n + min_lines])
             if any(line.strip() for line in run):
                 places.setdefault(run, []).append((i, n))
+        for n, line in enumerate(lines):
+            if min_lines > 1 and len(line.split()) >= 50:
+                places.setdefault((line,), []).append((i, n))
     first = {run: min(at) for run, at in places.items()}
     out = []
     for i, t in ordered:
@@ -190,6 +193,9 @@ def brute_lines(rows, min_lines):
             run = tuple(lines[n : n + min_lines])
             if run in first and (i, n) > first[run]:
                 gone[n : n + min_lines] = [True] * min_lines
+        for n, line in enumerate(lines):
+            if (line,) in first and (i, n) > first[(line,)]:
+                gone[n] = True
         runs = [len(m.group()) for m in re.finditer("1+", "".join("01"[g] for g in gone))]
         kept = "\n".join(line for line, g in zip(lines, gone) if not g)
         out.append((i, len(lines), sum(gone), len(runs), max(runs, default=0), hashlib.sha256(kept.encode()).hexdigest()))
@@ -201,11 +207,32 @@ def test_lines(spark, min_lines):
     rng = random.Random(min_lines)
     rows = [(n, "\n".join(rng.choice(["a", "b", "c", "", " ", "long line"]) for _ in range(rng.randint(0, 12)))) for n in range(40)]
     rows += [(100, None), (101, ""), (102, "a\nb\na\nb\na\nb"), (103, rows[5][1]), (104, "\n" * 50)]
+    passage, short = " ".join(["word"] * 50), " ".join(["word"] * 49)
+    rows += [(110, passage), (111, f"x\n{passage}"), (112, f"{passage}\ny"), (113, short), (114, short), (115, passage + "\n" + passage)]
+    rows += [(116, "very long " * 40_000), (117, "very long " * 40_000)]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, names string, starts string")
     got = [tuple(r) for r in line_dedup.line_report(docs, min_lines).collect()]
     assert sorted(got, key=repr) == sorted(brute_lines(rows, min_lines), key=repr)
 
 
+def test_lines_of_repeated_rows_and_none(spark):
+    """A document listed twice keeps the same lines both times; an empty table has an empty report."""
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb"), (None, "c\nd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:3] for r in line_dedup.line_report(docs).collect()), key=repr)
+    assert got == sorted([(1, 3, 0), (1, 3, 0), (2, 2, 2), (None, 2, 0)], key=repr)
+    assert line_dedup.line_report(docs.limit(0)).count() == 0
+
+
+def test_one_licence_line_in_many_documents(spark):
+    """A line of 64 words that two documents are made of stays once, whatever its neighbours."""
+    line = " ".join(f"term{n}" for n in range(64))
+    rows = [(1, f"one\n{line}\ntwo"), (2, line), (3, f"{line}\nthree"), (4, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.line_report(docs).collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_copies(docs).collect()} == {1: rows[0][1], 3: "three"}
+
+
 def test_documents_without_copies(spark):
     rows = [(1, "a\nb\nc", 5), (2, "a\nb\nd", 5), (3, "a\nb", 3), (4, "", 0), (5, None, None), (None, "x\ny", 3), (6, "x\ny\nz", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")

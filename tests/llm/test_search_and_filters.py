@@ -28,16 +28,16 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
     rows = [(n, [rng.gauss(0, 0.3) for _ in range(12)]) for n in range(200)]
     rows += [(n, [0.25] * 12) for n in range(200, 260)]  # ties
     rows += [(300, None), (301, [None] * 12), (302, [float("nan")] * 12), (303, [float("inf")] * 12), (None, [0.1] * 12)]
-    rows += [(320, []), (340, [1.0, 2.0]), (360, [5.0] * 12), (360, [5.0] * 12), (380, [1e300 * 0 + 1.5] * 12)]
+    rows += [(320, []), (340, [1.0, 2.0]), (361, [5.0] * 12), (361, [5.0] * 12), (361, [0.5] * 12), (380, [1e300 * 0 + 1.5] * 12)]
     docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, shard string")
     got = maxscore.search(docs, F.col("vec_id") % 20 == 0, 7).collect()
-    fit = {}
+    fit = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            fit[i] = [math.floor(64 * x) for x in v]
+            fit.append((i, [math.floor(64 * x) for x in v]))
     want = set()
-    for q in (i for i in fit if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(fit[q], v)), i) for i, v in fit.items() if i != q)[:7]
+    for q, asked in ((i, v) for i, v in fit if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in fit if i != q)[:7]
         want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert maxscore.search(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
