@@ -56,7 +56,7 @@ NEVER = 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK_BITS = 16
 _SLICE_BYTES = 1 << 20
-_HELD_ROWS = 1 << 20
+_HELD_ROWS = 1 << 18
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -318,7 +318,7 @@ def scored(counts: list[DataFrame], share: int = SHARE) -> DataFrame:
                 part = counts[size - 1].select(
                     *[F.col(f"w{n + 1}").alias(keys[at + n]) for n in range(size)], F.col("n").alias(f"{side}{k}")
                 )
-                rows = lookup_join(rows, part, keys[at : at + size], "inner")
+                rows = rows.join(part, keys[at : at + size])
         cuts = []
         for k in range(1, length):
             # Decimals of 38 digits, divided as whole numbers.
@@ -336,9 +336,9 @@ def scored(counts: list[DataFrame], share: int = SHARE) -> DataFrame:
                 holders.append(counts[longer - 1].select(*[F.col(f"w{first + n + 1}").alias(keys[n]) for n in range(length)], "n"))
         if holders:
             most = reduce(DataFrame.unionByName, holders).groupBy(*keys).agg(F.max("n").alias("held"))
-            rows = lookup_join(rows, most, keys, "left")
+            rows = rows.join(most, keys, "left")
             rows = rows.where(F.col("held").isNull() | (100 * F.col("held") < share * F.col("a")))
-        rows = lookup_join(rows, words.withColumnRenamed("word", "w1"), ["w1"], "inner")
+        rows = rows.join(words.withColumnRenamed("word", "w1"), "w1")
         beyond = [F.lit(None).cast("long").alias(w) for w in word_columns(longest)[length:]]
         out.append(rows.select("lang", *keys, *beyond, F.lit(length).alias("length"), "a", "best.l", "best.r", "best.score"))
     return reduce(DataFrame.unionByName, out)
