@@ -13,6 +13,8 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 CACHE_PIECES = 700_000
 SEGMENT_CHARS = 1 << 20
 
@@ -166,6 +168,53 @@ class SentencePieceEncoder(Encoder):
 
 # Closing marks; a run of them is always one run to the splitting rule.
 _MARKS = ".,;:!?#$%&*)"
+NUMBERED_PIECES = 600_000
+
+
+class _Numbers(dict):
+    """Pieces by number; a piece that is looked up for the first time gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
+class _Numbered:
+    """Numbered pieces and their ids: all ids in one array, where those of each piece begin and how many they are."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self._ids = np.zeros(0, np.uint32)
+        self._first, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, older: "_Numbered", encode_pieces) -> None:
+        """The ids of the pieces that are new: from an older generation, or from the library."""
+        new, self.numbers.new = self.numbers.new, []
+        look = older.numbers.get
+        at = np.fromiter([look(piece, -1) for piece in new], np.int64, len(new))
+        unseen = np.flatnonzero(at < 0)
+        packed = encode_pieces([new[n] for n in unseen.tolist()])
+        count = np.empty(len(new), np.int64)
+        count[unseen] = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        # First what the older generation has, then what it has not.
+        order = np.argsort(at < 0, kind="stable")
+        seen = at[order[: len(new) - len(unseen)]]
+        count[order[: len(seen)]] = older._count[seen]
+        first = np.empty(len(new), np.int64)
+        first[order] = len(self._ids) + np.cumsum(count[order]) - count[order]
+        self._ids = np.concatenate([self._ids, older.gather(seen)[0], np.frombuffer(b"".join(packed), np.uint32)])
+        self._first, self._count = np.concatenate([self._first, first]), np.concatenate([self._count, count])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a row of pieces, and how many there are up to each piece."""
+        counts = self._count[numbers]
+        ends = np.cumsum(counts)
+        return self._ids[np.repeat(self._first[numbers] - ends + counts, counts) + np.arange(counts.sum())], ends
 
 
 class JsonEncoder(Encoder):
@@ -177,6 +226,8 @@ class JsonEncoder(Encoder):
     and without closing punctuation where the file lower-cases.
     """
 
+    numbered_pieces = NUMBERED_PIECES
+
     def __init__(self, path: str) -> None:
         super().__init__()
         import json
@@ -189,7 +240,7 @@ class JsonEncoder(Encoder):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self._cuts = self._drops_white_space(spec)
-        self._words: dict[str, bytes] = {"": b""}
+        self._now, self._before = _Numbered(), _Numbered()
         self._bytes = _ByteLetters()
 
     @staticmethod
@@ -211,24 +262,59 @@ class JsonEncoder(Encoder):
     def pieces(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ") if self._cuts else [text]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text its packed ids: pieces become numbers, and numbers gather ids, a few MB at a time.
+
+        Two generations of pieces are held.  When the newer one is full it becomes
+        the older one, from which pieces that come again are taken over.
+        """
+        if not self._cuts:
+            return super().encode(texts)
+        found: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, np.ndarray]] = []
+        chars = 0
+        for row, text in enumerate(texts):
+            for segment in segments(text):
+                pieces = self.pieces(segment)
+                waiting.append((row, np.fromiter(map(self._now.numbers.__getitem__, pieces), np.int32, len(pieces))))
+                chars += len(segment)
+                if chars > 4 * SEGMENT_CHARS:
+                    self._gather(waiting, found)
+                    waiting, chars = [], 0
+        self._gather(waiting, found)
+        return [b"".join(parts) for parts in found]
+
+    def _gather(self, waiting: list[tuple[int, np.ndarray]], found: list[list[bytes]]) -> None:
+        if not waiting:
+            return
+        self._now.learn(self._before, self.encode_pieces)
+        ids, ends = self._now.gather(np.concatenate([numbers for _, numbers in waiting]))
+        start = piece = 0
+        for row, numbers in waiting:
+            piece += len(numbers)
+            end = int(ends[piece - 1])
+            found[row].append(ids[start:end].tobytes())
+            start = end
+        if len(self._now.numbers) > self.numbered_pieces:
+            self._now, self._before = _Numbered(), self._now
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         if not self._cuts:
             return self._one_by_one(pieces)
         parts: list[tuple[str, str] | None] = []
         others: set[str] = set()
-        known = self._words
-        if len(known) > CACHE_PIECES:
-            known = self._words = {"": b""}
+        known: dict[str, bytes] = {"": b""}
         tokenize, letters = self._library.model.tokenize, self._bytes
         for piece in pieces:
             word = piece.rstrip(_MARKS)
-            if word.isalpha() and max(word) < "ɐ" and "İ" not in word:
+            if word.isalpha() and (word.isascii() or max(word) < "ɐ" and "İ" not in word):
                 word, marks = word.lower(), piece[len(word) :]
                 parts.append((word, marks))
                 if word not in known:
                     # One run of letters: normalised and split already, so the
                     # merges of the vocabulary are all that is left to do.
-                    known[word] = pack([token.id for token in tokenize(word.translate(letters))])
+                    spelt = word if word.isascii() else word.translate(letters)
+                    known[word] = pack([token.id for token in tokenize(spelt)])
                 if marks not in known:
                     others.add(marks)
             else:

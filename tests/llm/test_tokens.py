@@ -48,6 +48,17 @@ def test_parts_of_long_texts(monkeypatch):
     assert piece_transducer.load(PIECES).encode([text]) == [encoders.pack(sp.encode(text))]
 
 
+def test_pieces_of_older_generations():
+    encoder = encoders.JsonEncoder(WORDS)
+    encoder.numbered_pieces = 5
+    rng = random.Random(3)
+    words = ["the", "The,", "of", "a1", "zürich", "x,", "", "\n", "1999", "don't", "é.", "▁"]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(4)]
+        assert encoder.encode(texts) == [encoders.pack(hf.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.encode([]) == [] and encoder.encode(["", "the"])[0] == b""
+
+
 def test_unigram_file_is_a_shortest_path():
     """A small file put together by hand, compared with the library's own search."""
     model = sentencepiece_model_pb2.ModelProto()
