@@ -241,6 +241,18 @@ SEARCH_HITS = _from_fragments(
     extra=HITS,
 )
 
+LIVE = """,
+  live as (
+    select * replace (case when starts_with(document_id, 'ORD_') then concat('v2 ', section) else section end as section)
+    from fragments
+    where not (starts_with(document_id, 'ORD_') and chunk_number > 5)
+      and not (starts_with(document_id, 'RES_') and not ends_with(document_id, '1')))"""
+
+LIVE_HITS = _from_fragments(
+    "select query_id, rank, id, document_id, title, section, chunk_number, source, content_markdown, content_text, score from hits",
+    extra=LIVE + HITS.replace("from fragments", "from live"),
+)
+
 VIEWED = f""",
   view_requests as ({_view(views.VIEW_REQUESTS)}),
   view_queries as (select request_id as query_id, query from view_requests),
@@ -491,6 +503,9 @@ ORACLES: dict[str, str] = {
     "search_global": SEARCH_HITS,
     "search_global_postings": SEARCH_HITS,
     "search_phrases": SEARCH_HITS.replace(_view(views.SEARCH_REQUESTS), _view(views.PHRASE_REQUESTS)),
+    "live_index": _from_fragments("select id, document_id, section, chunk_number, content_text from live", extra=LIVE),
+    "live_index_search": LIVE_HITS,
+    "merged_index_search": LIVE_HITS,
     "search_single": _from_fragments(
         """select id, document_id, title, section, chunk_number, source, content_text, score from (
           select *, (least(n1, 5) + least(n2, 5)) * 10 + 20000 + n3 * 50000 as score from (

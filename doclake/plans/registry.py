@@ -19,6 +19,7 @@ from doclake.sources import client_errors as errors
 from doclake.sources import fragments as fragment_store
 from doclake.sources import index as index_store
 from doclake.sources import markdown as markdown_store
+from doclake.sources import segments
 from doclake.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,6 +397,43 @@ def search_phrases(v: Views) -> DataFrame:
     return search.search_stored(index, v.phrase_requests(), posted, vocab)
 
 
+def _live_index(v: Views) -> str:
+    """An index that is built, changed, deleted from and added to, each time by a generation."""
+    path = new_shared_path(v.spark, "live")
+    made = _stored_fragments(v)
+    ordinances = made.where(F.col("document_id").startswith("ORD_"))
+    resolutions = made.where(F.col("document_id").startswith("RES_"))
+    newer = ordinances.where("chunk_number <= 5").withColumn("section", F.concat(F.lit("v2 "), "section"))
+    segments.add_documents(made, path, spread=16)
+    segments.add_documents(newer, path, documents=ordinances)
+    segments.delete_documents(resolutions, path)
+    segments.add_documents(resolutions.where(F.col("document_id").endswith("1")), path)
+    return path
+
+
+@query
+def live_index(v: Views) -> DataFrame:
+    rows = segments.read_live(v.spark, _live_index(v))
+    return rows.select("id", "document_id", "section", "chunk_number", "content_text")
+
+
+@query
+def live_index_search(v: Views) -> DataFrame:
+    """Postings of several generations, none of which was written anew."""
+    path = _live_index(v)
+    posted, vocab = segments.read_live_postings(v.spark, path)
+    return search.search_stored(segments.read_live(v.spark, path), v.search_requests(), posted, vocab)
+
+
+@query
+def merged_index_search(v: Views) -> DataFrame:
+    path = _live_index(v)
+    segments.merge(v.spark, path)
+    segments.remove_merged(v.spark, path)
+    posted, vocab = segments.read_live_postings(v.spark, path)
+    return search.search_stored(segments.read_live(v.spark, path), v.search_requests(), posted, vocab)
+
+
 @query
 def rejected_requests(v: Views) -> DataFrame:
     asked = v.odd_requests()
