@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import slices_by_bytes
+from doclake.llm.common import giving_back, slices_by_bytes
 from doclake.llm.components import components, roots
 from doclake.llm.shingles import mix, shingle_sets
 from doclake.session import broadcast_if, fits_broadcast, lookup_join, stored
@@ -90,7 +90,7 @@ def frequencies(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], ["part", "counts"])
 
     schema = "part int, counts binary"
-    sums = rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()
+    sums = rows.select("text").mapInArrow(giving_back(count), schema).groupBy("part").applyInArrow(add, schema).collect()
     total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for row in sums:
         total[row["part"]] = np.frombuffer(row["counts"], np.int64)
@@ -131,7 +131,7 @@ def digests(rows: DataFrame, size: int, threshold: int) -> DataFrame:
                     ["doc_id", "has_id", "version", "n", "node", "prefix", "suffix"],
                 )
 
-    return rows.mapInArrow(digest, DIGEST)
+    return rows.mapInArrow(giving_back(digest), DIGEST)
 
 
 def _postings(classes: DataFrame, threshold: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _postings(classes: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (none, x, y, none)], ["kind", "x", "y", "place"])
 
     edge = "kind int, x long, y long, place int"
-    packed = stored(classes.select("node", "n", "prefix").mapInArrow(pack, schema), "postings")
+    packed = stored(classes.select("node", "n", "prefix").mapInArrow(giving_back(pack), schema), "postings")
     met = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, edge)
     return met.unionByName(packed.where("bucket < 0").mapInArrow(unpack, edge)).distinct()
 
@@ -432,7 +432,7 @@ def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, size: in
             ys.append(node[at[root[hung]]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
 
-    return texts.groupBy("bin").applyInArrow(verify, "x long, y long")
+    return texts.groupBy("bin").applyInArrow(giving_back(verify), "x long, y long")
 
 
 def _large_cells(members: DataFrame, threshold: int, row: list[str]) -> DataFrame:
