@@ -24,6 +24,22 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MAX_BATCH = "4m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that sends Python at most ``MAX_BATCH`` of rows at once.
+
+    Spark's own limit, 64 MB or 10,000 rows, is held twice by the JVM and Python of
+    each running task.  A limit that the user has set stays; one longer row is sent alone.
+    """
+    conf = df.sparkSession.conf
+    if ARROW_BYTES not in conf.getAll:
+        conf.set(ARROW_BYTES, MAX_BATCH)
+    return df
+
+
 def per_batch(build: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]):
     """A function for ``mapInArrow`` whose state (a model, a cache) is made in the task."""
 
@@ -35,7 +51,8 @@ def per_batch(build: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return run
 
 
-def _trim() -> None:
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -52,7 +69,7 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         try:
             yield from run(batches)
         finally:
-            _trim()
+            give_back()
 
     return wrapped
 

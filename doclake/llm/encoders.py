@@ -42,6 +42,7 @@ class Encoder:
 
     _cuts = False
     cache_pieces = CACHE_PIECES
+    flush_chars = 4 * SEGMENT_CHARS
 
     def __init__(self) -> None:
         self._known: dict[str, bytes] = {"": b""}
@@ -61,7 +62,7 @@ class Encoder:
             for segment in segments(text) if self._cuts else (text,):
                 waiting.append((row, self.pieces(segment)))
                 chars += len(segment)
-                if chars > 4 * SEGMENT_CHARS:
+                if chars > self.flush_chars:
                     self._flush(waiting, found)
                     waiting, chars = [], 0
         self._flush(waiting, found)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import giving_back, slices_by_bytes
+from doclake.llm.common import bounded_batches, giving_back, slices_by_bytes
 from doclake.llm.components import components, roots
 from doclake.llm.shingles import mix, shingle_sets
 from doclake.session import broadcast_if, fits_broadcast, lookup_join, stored
@@ -51,7 +51,7 @@ DIGEST = "doc_id long, has_id boolean, version long, n long, node long, prefix b
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    return bounded_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"),
         F.col(id_col).isNotNull().alias("has_id"),
         F.xxhash64(text).alias("version"),

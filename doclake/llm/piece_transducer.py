@@ -38,8 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from doclake.llm.encoders import Encoder
-from doclake.llm.common import id_and_text, slices_by_bytes
+from doclake.llm.common import bounded_batches, give_back, giving_back, id_and_text, slices_by_bytes
+from doclake.llm.encoders import SEGMENT_CHARS, Encoder
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -51,9 +51,9 @@ INFINITE = float("inf")
 PAIR = 1 << 32
 
 CACHE_PAIRS = 500_000
-TABLE_CLASSES, TABLE_CHARS, TABLE_ROWS = 160, 40, 20_000
+TABLE_CLASSES, TABLE_CHARS, TABLE_ROWS = 160, 40, 4_000
 NO_ARC = np.iinfo(np.int64).min
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 1024 * 1024
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, n_fallback long, decoded_crc32 long, round_trip boolean"
 
@@ -65,11 +65,14 @@ def load(path: str) -> "Transducer":
     if path not in _machines:
         with open(path, "rb") as file:
             _machines[path] = Transducer(file.read())
+        # Compiling takes more than its result.
+        give_back()
     return _machines[path]
 
 
 class Transducer(Encoder):
     cache_pieces = 350_000
+    flush_chars = SEGMENT_CHARS
 
     def __init__(self, model: bytes) -> None:
         super().__init__()
@@ -412,4 +415,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     ["doc_id", "ids", "n_tokens", "n_fallback", "decoded_crc32", "round_trip"],
                 )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, ENCODED)
+    return bounded_batches(id_and_text(docs, id_col, text_col)).mapInArrow(giving_back(run), ENCODED)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import giving_back, id_and_text, slices_by_bytes
+from doclake.llm.common import bounded_batches, giving_back, id_and_text, slices_by_bytes
 
 # Bounds of the sample that the model is fitted on, and of the model itself.
 SAMPLE_TOXIC = 4_000
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    scored = rows.mapInArrow(giving_back(run), "doc_id long, score double, n_offending long")
+    scored = bounded_batches(rows).mapInArrow(giving_back(run), "doc_id long, score double, n_offending long")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -291,7 +291,7 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
             )
 
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, score double")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, start long, end long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -307,4 +307,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
                 stays.append((sum(total) if total else plain) < limit)
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(giving_back(keep), docs.schema)
+    return bounded_batches(docs).mapInArrow(giving_back(keep), docs.schema)
