@@ -319,7 +319,9 @@ def slim_index(v: Views) -> DataFrame:
 
 @query
 def search_haystacks(v: Views) -> DataFrame:
-    return _index(v).select("id", F.md5("haystack").alias("haystack_md5"), F.explode("tokens").alias("token"))
+    # A digest per fragment, not one per token.
+    digests = _index(v).select("id", F.md5("haystack").alias("haystack_md5"), "tokens")
+    return digests.select("id", "haystack_md5", F.explode("tokens").alias("token"))
 
 
 @query

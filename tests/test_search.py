@@ -267,3 +267,10 @@ def test_unknown_documents_are_reported(spark, indexed):
 def test_page_of_fragment(spark):
     df = spark.createDataFrame([(1,), (5,), (6,), (0,)], "n int")
     assert [r[0] for r in df.select(viewer.page_of_fragment(F.col("n"), F.lit(5))).collect()] == [1, 1, 2, 1]
+
+
+def test_digests_of_haystacks_are_made_once_per_fragment(spark):
+    from doclake.plans.registry import QUERIES
+
+    plan = QUERIES["search_haystacks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5(") > plan.index("Generate explode")
