@@ -269,6 +269,27 @@ def test_page_of_fragment(spark):
     assert [r[0] for r in df.select(viewer.page_of_fragment(F.col("n"), F.lit(5))).collect()] == [1, 1, 2, 1]
 
 
+def test_postings_are_made_without_a_shuffle(spark, indexed):
+    """One row per fragment and token, with all of its places, by the task that reads the fragment."""
+    _, index = indexed
+    made = postings.placed_postings(index)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("a-1", "a", 1, "la de la\nla x")], "id string, document_id string, chunk_number int, haystack string")
+    found = {r["token"]: (r["tf"], r["places"]) for r in postings.placed_postings(rows).collect()}
+    assert found == {"la": (3, [1, 4, 7]), "de": (1, [3]), "x": (1, [8])}
+
+
+def test_stored_search_shuffles_a_posting_once(spark, indexed, tmp_path):
+    """Pairs of searches and fragments are neither shuffled nor stored, only postings are, once."""
+    fragments, _ = indexed
+    write_index(fragments, f"{tmp_path}/rows")
+    write_postings(read_index(spark, f"{tmp_path}/rows"), str(tmp_path), buckets=8, spread=3)
+    posted, vocab = read_postings(spark, str(tmp_path))
+    searches = session.stored(search.distinct_searches(search.checked_requests(request_rows(spark))), "s")
+    executed = postings.stored_matches(searches, posted, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(id") == 1 and executed.count("Exchange hashpartitioning") == 1
+
+
 def test_digests_of_haystacks_are_made_once_per_fragment(spark):
     from doclake.plans.registry import QUERIES
 
