@@ -556,6 +556,17 @@ def stream_ingest(v: Views) -> DataFrame:
     return streaming.read_store(v.spark, f"{path}/store")
 
 
+def _pages_in_parts(v: Views, pages: DataFrame, path: str, parts: int) -> DataFrame:
+    """Pages as a stream of one batch per ``part``; the files of a part are written one after the other part's.
+
+    Pages stay in the tasks that read them, so no file is larger than what a task reads.
+    """
+    for part in range(parts):
+        pages.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+    files = len(v.spark.read.parquet(path).inputFiles())
+    return streaming.stream_pages_table(v.spark, path, max_files=max(1, -(-files // parts)))
+
+
 @query
 def stream_ingest_pages(v: Views) -> DataFrame:
     # The pages of a document lie in several files, and every file is a batch of its own.
@@ -573,8 +584,7 @@ def stream_uploads(v: Views) -> DataFrame:
     first = v.page_texts().withColumn("page_text", F.lit("old")).withColumn("upload", F.lit(1).cast("long"))
     second = v.page_texts().where("page_no % 4 <> 0").withColumn("upload", F.lit(2).cast("long"))
     both = first.unionByName(second).withColumn("part", F.pmod(F.col("page_no") + F.col("upload"), F.lit(2)))
-    both.repartition(2, "part").drop("part").write.parquet(f"{path}/pages")
-    pages_in = streaming.stream_pages_table(v.spark, f"{path}/pages", max_files=1)
+    pages_in = _pages_in_parts(v, both, f"{path}/pages", 2)
     streaming.stream_ingest_pages(pages_in, f"{path}/store", f"{path}/checkpoint").awaitTermination()
     return streaming.read_store(v.spark, f"{path}/store").select("id", "document_id", "chunk_number", "section", "content_text")
 

@@ -255,3 +255,14 @@ def test_shared_folder_without_the_setting():
 def test_shared_folder_comes_from_the_session(spark):
     assert session.new_shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.new_shared_path(spark, "x") != session.new_shared_path(spark, "x")
+
+
+def test_pages_of_a_stream_stay_in_the_tasks_that_read_them(spark, tmp_path):
+    """As many files per part as tasks, not one file per part."""
+    from doclake.plans import registry
+    from doclake.plans.views import Views
+
+    pages = spark.range(0, 80, 1, 8).selectExpr("cast(id as string) as document_id", "1 as page_no", "'t' as page_text", "0 as drawings", "id % 2 as part")
+    stream = registry._pages_in_parts(Views(spark, ""), pages, str(tmp_path / "pages"), 2)
+    written = spark.read.parquet(str(tmp_path / "pages"))
+    assert stream.isStreaming and len(written.inputFiles()) == 16 and written.count() == 80
