@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from doclake.functions import fixed_values as fv
 # Regex classes spelled out character by character, so that they do not depend
 # on the regex engine's idea of white space or of a line end.
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+OTHER_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 OTHER_BREAK_CLASS = r"\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
 LINE_BREAK_CLASS = r"\n" + OTHER_BREAK_CLASS
 INLINE_SPACE_CLASS = r"\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -29,16 +33,37 @@ def strip(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return strip(col) == ""
+    # The start decides: a trim at the left ends at the first other character.
+    return F.ltrim(col, F.lit(fv.SPACE_CHARS)) == ""
 
 
 def or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def rewritten(col: Column, marks: Iterable[str], rewrite) -> Column:
+    """``rewrite(text)`` for texts that hold one of the marks, others as they are.
+
+    For a rewrite that changes nothing without a mark.  Looking for bytes costs a
+    fraction of a regex, which decodes the text, tries every place and encodes it.
+    """
+
+    def one(text: Column) -> Column:
+        found = reduce(Column.__or__, [F.contains(text, F.lit(mark)) for mark in marks])
+        return F.when(found, rewrite(text)).otherwise(text)
+
+    return let(col, one)
+
+
 def newlines(col: Column) -> Column:
     """Every line break as ``\\n``."""
-    return F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), f"[{OTHER_BREAK_CLASS}]", "\n")
+    return rewritten(
+        col,
+        OTHER_BREAKS,
+        lambda text: F.regexp_replace(
+            F.replace(text, F.lit("\r\n"), F.lit("\n")), f"[{OTHER_BREAK_CLASS}]", "\n"
+        ),
+    )
 
 
 def collapse_space(col: Column) -> Column:
@@ -63,15 +88,20 @@ def occurrences(text: Column, term: Column) -> Column:
 def plain_text(col: Column) -> Column:
     """Markdown to plain text: the nine rewrites in order, then strip."""
     space = f"[{SPACE_CLASS}]*"
-    out = F.regexp_replace(col, rf"(?i)<br{space}/?>|&lt;br{space}/?&gt;", " ")
-    out = F.regexp_replace(out, r"(?s)```.*?```", " ")
-    out = F.regexp_replace(out, r"`([^`]*)`", "$1")
-    out = F.regexp_replace(out, r"(?d)!\[.*?\]\(.*?\)", " ")
-    out = F.regexp_replace(out, r"(?d)\[(.*?)\]\(.*?\)", "$1")
-    out = F.regexp_replace(out, rf"(?md)^#{{1,6}}{space}", "")
-    out = F.regexp_replace(out, "[*_~>#-]", " ")
-    out = F.regexp_replace(out, r"\n{2,}", "\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
+    rewrites = [
+        (["<", "&"], rf"(?i)<br{space}/?>|&lt;br{space}/?&gt;", " "),
+        (["```"], r"(?s)```.*?```", " "),
+        (["`"], r"`([^`]*)`", "$1"),
+        (["]("], r"(?d)!\[.*?\]\(.*?\)", " "),
+        (["]("], r"(?d)\[(.*?)\]\(.*?\)", "$1"),
+        (["#"], rf"(?md)^#{{1,6}}{space}", ""),
+        ("*_~>#-", "[*_~>#-]", " "),
+        (["\n\n"], r"\n{2,}", "\n"),
+        (["  ", "\t"], r"[ \t]+", " "),
+    ]
+    out = col
+    for marks, pattern, replacement in rewrites:
+        out = rewritten(out, marks, lambda text, p=pattern, r=replacement: F.regexp_replace(text, p, r))
     return strip(out)
 
 

@@ -26,14 +26,14 @@ def split_sections(docs: DataFrame) -> DataFrame:
 
 
 def _to_fragments(numbered: DataFrame) -> DataFrame:
-    """Pieces ``(document_id, source, chunk_number, section, content)`` to fragment rows.
+    """Pieces ``(document_id, title, source, chunk_number, section, content)`` to fragment rows.
 
     Blank pieces are dropped here, after numbering, so numbers may have gaps.
     """
     return numbered.where(F.col("content") != "").select(
         F.concat("document_id", F.lit("-fragment-"), F.col("chunk_number").cast("string")).alias("id"),
         "document_id",
-        names.payload_title(F.col("document_id")).alias("title"),
+        "title",
         "section",
         F.col("chunk_number").cast("int").alias("chunk_number"),
         "source",
@@ -48,10 +48,12 @@ def fragments_from_markdown(docs: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CH
     Ids are unique where a document has one body, see :func:`one_body`.
     """
     pieces = chunking.pieces(chunking.sections(F.col("markdown")), max_chars)
-    numbered = docs.select(
-        "document_id", F.col("file_name").alias("source"), F.posexplode(pieces)
+    # The title is made per document, before its pieces are.
+    titled = docs.withColumn("title", names.payload_title(F.col("document_id")))
+    numbered = titled.select(
+        "document_id", "title", F.col("file_name").alias("source"), F.posexplode(pieces)
     ).select(
-        "document_id", "source", (F.col("pos") + 1).alias("chunk_number"), "col.section", "col.content"
+        "document_id", "title", "source", (F.col("pos") + 1).alias("chunk_number"), "col.section", "col.content"
     )
     return _to_fragments(numbered)
 
@@ -122,6 +124,7 @@ def fragments_from_pages(pages: DataFrame, max_chars: int = fv.MAX_FRAGMENT_CHAR
     )
     numbered = lookup_join(pieces, firsts, page, "inner").select(
         "document_id",
+        names.payload_title(F.col("document_id")).alias("title"),
         F.concat("document_id", F.lit(".md")).alias("source"),
         (F.col("_first") + F.col("pos")).alias("chunk_number"),
         "section",

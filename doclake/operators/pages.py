@@ -50,7 +50,7 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
 
 
 def _in_order(parts: Column | str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["part"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda x: x["part"]), "")
 
 
 def page_errors(pages: DataFrame) -> DataFrame:

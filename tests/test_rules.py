@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from doclake.functions import chunking, names, noise
 from doclake.functions.terms import highlight_terms, query_terms
-from doclake.functions.text import occurrences, plain_text, preview, snippet, strip, title_case
+from doclake.functions.text import (
+    is_blank,
+    newlines,
+    occurrences,
+    plain_text,
+    preview,
+    rewritten,
+    snippet,
+    strip,
+    title_case,
+)
 from doclake.operators.fragments import fragments_from_markdown, split_sections
 from doclake.operators.present import highlight, mark_pattern
 
@@ -48,6 +58,28 @@ def test_plain_text(values):
     assert values(plain_text, list(PLAIN)) == list(PLAIN.values())
 
 
+def test_texts_without_a_mark_are_not_rewritten(values):
+    def rewrite(text):
+        return F.when(F.contains(text, F.lit("#")), F.concat(text, F.lit("!"))).otherwise(F.raise_error(F.lit("rewritten")))
+
+    texts = ["", "a b", "a # b", None, "é`"]
+    assert values(lambda c: rewritten(c, ["#"], rewrite), texts) == ["", "a b", "a # b!", None, "é`"]
+
+
+def test_every_line_break_and_blank_text_is_known(values):
+    breaks = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n"]
+    assert values(newlines, [f"a{one}b" for one in breaks] + ["a b", None]) == ["a\nb"] * len(breaks) + ["a b", None]
+    assert values(is_blank, ["", " \u3000\r\n\x85", " x ", None]) == [True, True, False, None]
+
+
+def test_the_title_is_made_per_document(spark):
+    docs = spark.createDataFrame([("RES_1", "RES_1.md", "# a\nx\n# b\ny")], "document_id string, file_name string, markdown string")
+    made = fragments_from_markdown(docs)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "initcap" not in plan[: plan.index("Generate")]
+    assert [r["title"] for r in made.collect()] == ["Res 1", "Res 1"]
+
+
 def test_occurrences_do_not_overlap(spark):
     rows = spark.createDataFrame([("aaaa", "aa"), ("ababab", "abab"), ("ñañ", "ñ"), ("x", "yy")], "t string, w string")
     assert [r[0] for r in rows.select(occurrences(F.col("t"), F.col("w"))).collect()] == [2, 1, 2, 0]
