@@ -92,6 +92,24 @@ def test_search_without_broadcast_equals_brute_force(spark, indexed, monkeypatch
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_few_searches_need_no_vocabulary(spark, indexed, monkeypatch):
+    fragments, index = indexed
+    requests = request_rows(spark, limits=(100,))
+    expected = brute_force(fragments, requests, spark)
+
+    def vocabulary(posted):
+        raise AssertionError("a vocabulary was made")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(postings, "vocabulary", vocabulary)
+        found = search.search(index, requests)
+        assert answers(found) == expected
+        monkeypatch.setattr(postings, "DIRECT_ANCHORS", 0)
+        with pytest.raises(AssertionError, match="a vocabulary was made"):
+            search.search(index, requests)
+    assert answers(search.search(index, requests)) == expected
+
+
 def test_stored_postings_equal_brute_force(spark, indexed, tmp_path):
     fragments, _ = indexed
     write_index(fragments, f"{tmp_path}/rows")
