@@ -266,3 +266,22 @@ def test_pages_of_a_stream_stay_in_the_tasks_that_read_them(spark, tmp_path):
     stream = registry._pages_in_parts(Views(spark, ""), pages, str(tmp_path / "pages"), 2)
     written = spark.read.parquet(str(tmp_path / "pages"))
     assert stream.isStreaming and len(written.inputFiles()) == 16 and written.count() == 80
+
+
+def test_streamed_pages_stay_in_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    from doclake.plans import registry
+
+    text = F.concat(F.lit("# A\n\ntext "), F.col("id").cast("string"))
+    docs = spark.range(0, 60, 1, 6).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"),
+        F.lit("web").alias("source"), F.length(text).cast("long").alias("n_chars"),
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(registry, "new_shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    found = registry.QUERIES["stream_ingest_pages"](spark, str(tmp_path)).select("id", "content_text").collect()
+    assert len(spark.read.parquet(f"{tmp_path}/ingest/pages").inputFiles()) > 3
+    expected = registry.QUERIES["fragments_of_pages"](spark, str(tmp_path)).select("id", "content_text").collect()
+    assert sorted(found) == sorted(expected)
+    # The page without a number and the others of its row are errors, none is lost.
+    errors = spark.read.parquet(f"{tmp_path}/ingest/store/errors")
+    assert errors.count() == registry.Views(spark, str(tmp_path)).page_texts().where("document_id is null or page_no is null").count() > 0
